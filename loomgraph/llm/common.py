@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import gc
 import re
+import time
 import uuid
 
 import numpy as np
@@ -47,11 +48,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a materialized table that nothing reads any more."""
+    spark = session_of(df)
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of finished jobs: it acts when the driver collects its garbage."""
-    gc.collect()
+    """Let Spark's cleaner delete the shuffle files of finished jobs: it acts when the driver collects its garbage.
+
+    Twice, as the first round only lets go of plans that hold others.
+    """
     with contextlib.suppress(Exception):
-        spark.sparkContext._jvm.System.gc()
+        for _ in range(2):
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()
+            time.sleep(0.3)
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -81,7 +95,7 @@ def id_and_text(docs: DataFrame) -> DataFrame:
 
 def row_keys() -> list[Column]:
     """k1, k2 name a row by its id and its text: rows that repeat an id with another text stay apart."""
-    return [F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("k1"), F.xxhash64("text").alias("k2")]
+    return [F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("k1"), F.hash("text").alias("k2")]
 
 
 def crc_fold(mod: int) -> Column:

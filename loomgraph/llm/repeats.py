@@ -119,7 +119,7 @@ def columns(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
 
 def parse(docs: DataFrame, al: Alphabet, summary: Callable[[object], tuple], fields: list[tuple[str, pa.DataType, str]]) -> DataFrame:
     """k1, k2, doc_id, the trigger of each phrase, and the summary that holds if nothing is removed."""
-    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("doc_id", pa.int64()), ("triggers", pa.list_(pa.int64())), *((n, t) for n, t, _ in fields)])
+    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int32()), ("doc_id", pa.int64()), ("triggers", pa.list_(pa.int64())), *((n, t) for n, t, _ in fields)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,23 +131,27 @@ def parse(docs: DataFrame, al: Alphabet, summary: Callable[[object], tuple], fie
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
-    sql = ", ".join(["k1 long", "k2 long", "doc_id long", "triggers array<long>", *(f"{n} {s}" for n, _, s in fields)])
+    sql = ", ".join(["k1 long", "k2 int", "doc_id long", "triggers array<long>", *(f"{n} {s}" for n, _, s in fields)])
     return docs.mapInArrow(run, sql)
 
 
 def repeated(parsed: DataFrame) -> DataFrame:
-    """k1, k2 and the document's triggers that occur at least twice in the corpus."""
+    """k1, k2 and the document's triggers that occur at least twice in the corpus.
+
+    The repeated triggers are written first: as a table of its own, that side lets AQE split a trigger that is everywhere.
+    """
     keys = parsed.select("k1", "k2", F.explode("triggers").alias("key"))
-    again = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("key")
+    again = C.materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("key"), "again")
+    C.free_shuffles(C.session_of(parsed))
     return keys.join(again, "key").groupBy("k1", "k2").agg(F.collect_set("key").alias("again"))
 
 
 def ship(held: DataFrame, al: Alphabet) -> DataFrame:
     """A row for each phrase with a repeated trigger; its bytes only where the task meets the phrase for the first time."""
-    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("key", pa.int64()), ("p1", pa.int64()), ("p2", pa.int64()), ("phrase", pa.binary())])
+    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int32()), ("start", pa.int64()), ("n", pa.int32()), ("key", pa.int64()), ("p", pa.int64()), ("phrase", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             out, size = [], 0
             for k1, k2, text, again in columns(batch, "k1", "k2", "text", "again"):
@@ -156,22 +160,21 @@ def ship(held: DataFrame, al: Alphabet) -> DataFrame:
                 for i in np.flatnonzero(np.isin(keys, np.array(again, np.int64))):
                     a, b = int(first[i]), int(last[i])
                     part = al.join(seq[a : b + al.window])
-                    digest = xxhash.xxh3_128_digest(part)
-                    new = digest not in seen
+                    name = int(keys[i]), xxhash.xxh3_64_intdigest(part) - (1 << 63)
+                    new = name not in seen
                     if new:
                         if len(seen) > 200_000:  # only saves bytes: a phrase may be sent more than once
                             seen.clear()
-                        seen.add(digest)
+                        seen.add(name)
                         size += len(part)
-                    p = np.frombuffer(digest, np.int64)
-                    out.append((k1, k2, a, b - a + 1, int(keys[i]), int(p[0]), int(p[1]), part if new else None))
+                    out.append((k1, k2, a, b - a + 1, *name, part if new else None))
                     if size > 4_000_000 or len(out) > 20_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
                         out, size = [], 0
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
-    return held.mapInArrow(run, "k1 long, k2 long, start long, n int, key long, p1 long, p2 long, phrase binary")
+    return held.mapInArrow(run, "k1 long, k2 int, start long, n int, key long, p long, phrase binary")
 
 
 def runs_of(flags: np.ndarray) -> list[int]:
@@ -186,58 +189,66 @@ Resolver = Callable[[list[Group]], list[list[np.ndarray]]]
 
 
 def resolve(shipped: DataFrame, al: Alphabet, resolver: Resolver, keep_first: bool, shards: int) -> DataFrame:
-    """p1, p2, n_docs, the earliest place (e1, e2, e3) and ``marks``: windows of the phrase that occur in other phrases too.
+    """key, p, n_seen, the earliest place (e1, e2, e3) and ``marks``: windows of the phrase that occur in other phrases too.
 
     With keep_first a window is marked only if its place in the phrase's earliest occurrence isn't the earliest of all.
     """
-    phrases = shipped.groupBy("key", "p1", "p2").agg(F.count(F.lit(1)).alias("n_seen"), F.min(F.struct(F.col("k1").alias("e1"), F.col("k2").alias("e2"), F.col("start").alias("e3"))).alias("e"))
-    phrases = C.materialize(phrases.select("key", "p1", "p2", "n_seen", "e.*"), "phrases")
+    place = F.struct(F.col("k1").alias("e1"), F.col("k2").alias("e2"), F.col("start").alias("e3")) if keep_first else F.lit(None).cast("struct<e1:bigint,e2:int,e3:bigint>")
+    phrases = shipped.groupBy("key", "p").agg(F.count(F.lit(1)).alias("n_seen"), *([F.min(place).alias("e")] if keep_first else []))
+    phrases = phrases if keep_first else phrases.withColumn("e", place)
+    phrases = C.materialize(phrases.select("key", "p", "n_seen", "e.*"), "phrases")
     kinds = phrases.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds >= 2")
-    several = phrases.join(kinds, "key")
-    bodies = shipped.where("phrase is not null").select("key", "p1", "p2", "phrase").join(several.select("p1", "p2", "e1", "e2", "e3", "kinds"), ["p1", "p2"])
+    several = phrases.join(kinds, "key").drop("n_seen")
+    bodies = shipped.where("phrase is not null").select("key", "p", "phrase").join(several, ["key", "p"])
     bodies = C.materialize(bodies, "bodies")
+    C.free_shuffles(C.session_of(shipped))
 
     # a shard: whole triggers, of at most HOT phrases each
     cold = bodies.where(F.col("kinds") <= HOT).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
-    out = pa.schema([("p1", pa.int64()), ("p2", pa.int64()), ("marks", pa.list_(pa.int32()))])
+    out = pa.schema([("key", pa.int64()), ("p", pa.int64()), ("marks", pa.list_(pa.int32()))])
 
     def shard(table: pa.Table) -> pa.Table:
-        groups: dict[int, dict[tuple[int, int], tuple[bytes, tuple[int, int, int]]]] = {}
-        for key, p1, p2, phrase, e1, e2, e3 in columns(table.combine_chunks().to_batches()[0], "key", "p1", "p2", "phrase", "e1", "e2", "e3"):
-            groups.setdefault(key, {})[p1, p2] = (phrase, (e1, e2, e3))
-        order = [sorted(g.items()) for _, g in sorted(groups.items())]
-        found = resolver([[v for _, v in g] for g in order])
-        rows = [(p[0], p[1], runs_of(flags)) for g, marks in zip(order, found, strict=True) for (p, _), flags in zip(g, marks, strict=True) if flags.any()]
+        groups: dict[int, dict[int, tuple[bytes, tuple[int, int, int]]]] = {}
+        for key, p, phrase, e1, e2, e3 in columns(table.combine_chunks().to_batches()[0], "key", "p", "phrase", "e1", "e2", "e3"):
+            groups.setdefault(key, {})[p] = (phrase, (e1, e2, e3))
+        order = [(key, sorted(g.items())) for key, g in sorted(groups.items())]
+        found = resolver([[v for _, v in g] for _, g in order])
+        rows = [(key, p, runs_of(flags)) for (key, g), marks in zip(order, found, strict=True) for (p, _), flags in zip(g, marks, strict=True) if flags.any()]
         return pa.Table.from_arrays([pa.array([r[i] for r in rows], out.types[i]) for i in range(3)], schema=out)
 
-    marked = cold.select("shard", "key", "p1", "p2", "phrase", "e1", "e2", "e3").groupBy("shard").applyInArrow(shard, "p1 long, p2 long, marks array<int>")
+    marked = cold.select("shard", "key", "p", "phrase", "e1", "e2", "e3").groupBy("shard").applyInArrow(shard, "key long, p long, marks array<int>")
 
     # the rest, window by window
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for p1, p2, phrase, e1, e2, e3 in columns(batch, "p1", "p2", "phrase", "e1", "e2", "e3"):
-                seq = al.cut(phrase)
-                units = al.hashed(seq)
+            for key, p, phrase, e1, e2, e3 in columns(batch, "key", "p", "phrase", "e1", "e2", "e3"):
+                units = al.hashed(al.cut(phrase))
                 h1, h2 = rolling(units, al.window), rolling(C.mix64(units + np.uint64(0x1234567)), al.window)
                 m = len(h1)
-                same = [np.full(m, v, np.int64) for v in (p1, p2, e1, e2)]
-                places = np.arange(m, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (h1.view(np.int64), h2.view(np.int64), *same, e3 + places, places.astype(np.int32))], names=["h1", "h2", "p1", "p2", "e1", "e2", "e3", "off"])
+                off = np.arange(m, dtype=np.int32)
+                same = [pa.array(np.full(m, v, np.int64)) for v in (key, p, e1 or 0)] + [pa.array(np.full(m, e2 or 0, np.int32)), pa.array((e3 or 0) + off.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), *same, pa.array(off)], names=["h1", "h2", "key", "p", "e1", "e2", "e3", "off"])
 
-    hot = bodies.where(F.col("kinds") > HOT).mapInArrow(windows, "h1 long, h2 long, p1 long, p2 long, e1 long, e2 long, e3 long, off int")
-    first = hot.groupBy("h1", "h2").agg(F.min(F.struct("e1", "e2", "e3")).alias("f"), F.max(F.struct("e1", "e2", "e3")).alias("l")).where("f <> l")
-    again = hot.join(first, ["h1", "h2"])
+    hot = bodies.where(F.col("kinds") > HOT).mapInArrow(windows, "h1 long, h2 long, key long, p long, e1 long, e2 int, e3 long, off int")
     if keep_first:
-        again = again.where(F.struct("e1", "e2", "e3") != F.col("f"))
+        first = hot.groupBy("h1", "h2").agg(F.min(F.struct("e1", "e2", "e3")).alias("first"), F.max(F.struct("e1", "e2", "e3")).alias("last")).where("first <> last").select("h1", "h2", "first")
+        again = hot.join(first, ["h1", "h2"]).where(F.struct("e1", "e2", "e3") != F.col("first"))
+    else:
+        twice = hot.groupBy("h1", "h2").agg(F.min("p").alias("first"), F.max("p").alias("last")).where("first <> last").select("h1", "h2")
+        again = hot.join(twice, ["h1", "h2"])
 
     def merged(table: pa.Table) -> pa.Table:
         off = np.unique(table.column("off").to_numpy())
         flags = np.zeros(int(off.max()) + 1, bool)
         flags[off] = True
-        return pa.Table.from_arrays([table.column("p1")[:1], table.column("p2")[:1], pa.array([runs_of(flags)], out.types[2])], schema=out)
+        return pa.Table.from_arrays([table.column("key")[:1], table.column("p")[:1], pa.array([runs_of(flags)], out.types[2])], schema=out)
 
-    singly = again.select("p1", "p2", "off").distinct().groupBy("p1", "p2").applyInArrow(merged, "p1 long, p2 long, marks array<int>")
-    return phrases.join(marked.unionByName(singly), ["p1", "p2"], "left").where("n_seen >= 2 or marks is not null").select("p1", "p2", "n_seen", "e1", "e2", "e3", "marks")
+    singly = again.select("key", "p", "off").distinct().groupBy("key", "p").applyInArrow(merged, "key long, p long, marks array<int>")
+    known = phrases.join(marked.unionByName(singly), ["key", "p"], "left").where("n_seen >= 2 or marks is not null")
+    known = C.materialize(known, "known")
+    C.discard(phrases)
+    C.discard(bodies)
+    return known
 
 
 def covered(n: int, window: int, stretches: list[tuple[int, int]]) -> np.ndarray:
@@ -258,13 +269,15 @@ def remove(docs: DataFrame, al: Alphabet, resolver: Resolver, keep_first: bool,
     shards = C.parts_for(docs, 8)
     keyed = docs.select("doc_id", "text", *C.row_keys())
     parsed = C.materialize(parse(keyed, al, summary, fields), "parsed")
-    C.free_shuffles(spark)
     held = C.materialize(keyed.join(repeated(parsed), ["k1", "k2"]).select("k1", "k2", "text", "again"), "held")
+    plain = C.materialize(parsed.drop("triggers"), "plain")
+    C.discard(parsed)
     C.free_shuffles(spark)
     shipped = C.materialize(ship(held, al), "shipped")
-    known = C.materialize(resolve(shipped, al, resolver, keep_first, shards), "known")
+    known = resolve(shipped, al, resolver, keep_first, shards)
     C.free_shuffles(spark)
-    places = shipped.select("k1", "k2", "start", "n", "p1", "p2").distinct().join(known, ["p1", "p2"])
+    # rows that repeat a document give its places twice, which marks them no differently
+    places = shipped.select("k1", "k2", "start", "n", "key", "p").join(known, ["key", "p"])
     if keep_first:
         whole = ~((F.col("k1") == F.col("e1")) & (F.col("k2") == F.col("e2")) & (F.col("start") == F.col("e3")))
     else:
@@ -272,7 +285,7 @@ def remove(docs: DataFrame, al: Alphabet, resolver: Resolver, keep_first: bool,
     stretches = F.when(whole, F.array(F.lit(0), F.col("n") - 1)).otherwise(F.col("marks"))
     places = places.select("k1", "k2", F.struct("start", stretches.alias("marks")).alias("m")).where("m.marks is not null")
     marks = places.groupBy("k1", "k2").agg(F.collect_list("m").alias("m"))
-    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), *((f"new_{n}", t) for n, t, _ in fields)])
+    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int32()), *((f"new_{n}", t) for n, t, _ in fields)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -284,7 +297,7 @@ def remove(docs: DataFrame, al: Alphabet, resolver: Resolver, keep_first: bool,
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
-    sql = ", ".join(["k1 long", "k2 long", *(f"new_{n} {s}" for n, _, s in fields)])
+    sql = ", ".join(["k1 long", "k2 int", *(f"new_{n} {s}" for n, _, s in fields)])
     changed = held.select("k1", "k2", "text").dropDuplicates(["k1", "k2"]).join(marks, ["k1", "k2"]).mapInArrow(run, sql)
-    kept = parsed.drop("triggers").join(changed, ["k1", "k2"], "left")
+    kept = plain.join(changed, ["k1", "k2"], "left")
     return kept.select("doc_id", *(F.coalesce(f"new_{n}", n).alias(n) for n, _, _ in fields))
