@@ -124,18 +124,24 @@ def tau_b_max(df: DataFrame, y: str = "y") -> DataFrame:
 
 
 def per_shell(df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
-    """h, n, rho_cum (rows up to h), rho_shell (h and the shell before), x_mean, x_std, r2_shell."""
-    shells = [r[0] for r in df.select(y).distinct().orderBy(y).collect()]  # as many as the diameter
-    base = df.groupBy(F.col(y).alias("h")).agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("x_mean"), F.stddev_pop(x).alias("x_std"))
-    rows = []
-    for i, h in enumerate(shells):
-        upto, last = df.where(F.col(y) <= h), df.where(F.col(y).isin(*shells[max(0, i - 1) : i + 1]))
-        cum = spearman(upto, x, y).first()[0] if i else None
-        one = spearman(last, x, y).first()[0] if i else None
-        r2 = last.agg(F.pow(pearson(x, y), F.lit(2.0))).first()[0] if i else None
-        rows.append((h, cum, one, r2))
-    got = df.sparkSession.createDataFrame(rows, base.select("h").schema.add("rho_cum", "double").add("rho_shell", "double").add("r2_shell", "double"))
-    return base.join(F.broadcast(got), "h").select("h", "n", "rho_cum", "rho_shell", "x_mean", "x_std", "r2_shell")  # a row a shell
+    """h, n, rho_cum (rows up to h), rho_shell (h and the shell before), x_mean, x_std, r2_shell.
+
+    Every row is told off to the shells it counts for (as many as the diameter at most); all shells are ranked at once.
+    """
+    rows = df.select(F.col(x).alias("x"), F.col(y).alias("y"))
+    base = rows.groupBy(F.col("y").alias("h")).agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("x_mean"), F.stddev_pop("x").alias("x_std"))
+    shells = base.select("h", F.lag("h").over(Window.partitionBy(F.lit(0)).orderBy("h")).alias("before"))  # a row a shell
+    shells = F.broadcast(cut(shells, "shells"))
+    both = rows.join(shells, rows["y"] <= F.col("h")).select("h", "before", "x", "y", F.explode(F.array(F.lit("cum"), F.lit("one"))).alias("kind"))
+    both = cut(both.where("before is not null and (kind = 'cum' or y = h or y = before)"), "rows")
+    for v in ("x", "y"):
+        per = both.groupBy("kind", "h", v).agg(F.count(F.lit(1)).alias("c"))
+        upto = F.sum("c").over(Window.partitionBy("kind", "h").orderBy(v))
+        both = both.join(per.select("kind", "h", v, (upto - (F.col("c") - 1) / 2.0).alias(f"r{v}")), ["kind", "h", v])
+    got = both.groupBy("h", "kind").agg(pearson("rx", "ry").alias("rho"), F.pow(pearson("x", "y"), F.lit(2.0)).alias("r2"))
+    side = lambda kind, *cols: got.where(F.col("kind") == kind).select("h", *cols)
+    out = base.join(side("cum", F.col("rho").alias("rho_cum")), "h", "left").join(side("one", F.col("rho").alias("rho_shell"), F.col("r2").alias("r2_shell")), "h", "left")
+    return out.select("h", "n", "rho_cum", "rho_shell", "x_mean", "x_std", "r2_shell")
 
 
 def h_star(shells: DataFrame, tol: float = H_STAR_TOL) -> DataFrame:

@@ -228,8 +228,8 @@ def recall_at_10(spark, sf):
 
 
 @query(_TRUE + """, h AS (SELECT id, rank, EXISTS (SELECT 1 FROM e WHERE src = id AND dst = neighbour)::INT AS hit FROM near), c AS (SELECT *, sum(hit) OVER (PARTITION BY id ORDER BY rank) AS upto FROM h),
-p AS (SELECT id, sum(hit) AS hits, max(CASE WHEN hit = 1 THEN 1.0 / rank END) AS rr, sum(CASE WHEN hit = 1 THEN upto::DOUBLE / rank END) AS ap FROM c GROUP BY id), d AS (SELECT src AS id, count(*) AS deg FROM e GROUP BY src)
-SELECT round(avg(coalesce(hits, 0) / 10.0::DOUBLE), 6) AS precision, round(avg(coalesce(hits, 0)::DOUBLE / least(deg, 10)), 6) AS recall, round(avg(coalesce(rr, 0)::DOUBLE), 6) AS mrr, round(avg(coalesce(ap, 0) / least(deg, 10)), 6) AS map, round(avg((coalesce(hits, 0) > 0)::INT::DOUBLE), 6) AS hits_at_k FROM d LEFT JOIN p USING (id)""")
+p AS (SELECT id, sum(hit) AS hits, max(CASE WHEN hit = 1 THEN 1.0 / rank END) AS rr, sum(CASE WHEN hit = 1 THEN upto::DOUBLE / rank END) AS ap FROM c GROUP BY id), dg AS (SELECT src AS id, count(*) AS deg FROM e GROUP BY src)
+SELECT round(avg(coalesce(hits, 0) / 10.0::DOUBLE), 6) AS precision, round(avg(coalesce(hits, 0)::DOUBLE / least(deg, 10)), 6) AS recall, round(avg(coalesce(rr, 0)::DOUBLE), 6) AS mrr, round(avg(coalesce(ap, 0) / least(deg, 10)), 6) AS map, round(avg((coalesce(hits, 0) > 0)::INT::DOUBLE), 6) AS hits_at_k FROM dg LEFT JOIN p USING (id)""")
 def retrieval_at_k(spark, sf):
     return rounded(M.retrieval(*near_and_edges(spark, sf)))
 
@@ -281,7 +281,7 @@ def run_dedup(spark, sf):
     return store.latest(runs(spark, sf)).select("graph", "method", "seed", "value")
 
 
-@query(_RUNS + " SELECT graph, method, count(value)::BIGINT AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, row_number() OVER (PARTITION BY graph ORDER BY avg(value) DESC NULLS LAST, method) AS place FROM last GROUP BY ALL")
+@query(_RUNS + ", g AS (SELECT graph, method, count(value)::BIGINT AS n, avg(value) AS mean, stddev_pop(value) AS std FROM last GROUP BY graph, method) SELECT graph, method, n, round(mean, 6) AS mean, round(std, 6) AS std, row_number() OVER (PARTITION BY graph ORDER BY mean DESC NULLS LAST, method) AS place FROM g")
 def report_mean_std(spark, sf):
     return store.table(store.latest(runs(spark, sf)), "value").select("graph", "method", "n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), F.col("place").cast("long").alias("place"))
 
