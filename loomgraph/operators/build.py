@@ -121,10 +121,12 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
         best = cut(best, "cheapest")
         if best.isEmpty():
             return chosen if chosen is not None else e.limit(0)
-        chosen = cut(best if chosen is None else chosen.union(best).distinct(), "forest")
-        links = chosen.select("src", "dst").union(chosen.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        found = components(links)
-        part = cut(part.select("id").join(found, "id", "left").select("id", F.coalesce("component", F.col("id")).alias("component")), "part")
+        # only the components that were joined this round, as nodes of a graph of their own
+        marked = best.join(a, "src").join(b, "dst")
+        links = marked.select(F.col("ca").alias("src"), F.col("cb").alias("dst")).union(marked.select(F.col("cb").alias("src"), F.col("ca").alias("dst"))).distinct()
+        chosen = cut(best if chosen is None else chosen.union(best), "forest")
+        found = components(cut(links, "links")).withColumnRenamed("component", "new")
+        part = cut(part.join(found.withColumnRenamed("id", "component"), "component", "left").select("id", F.coalesce("new", "component").alias("component")), "part")
 
 
 def complete_edges(z: DataFrame) -> DataFrame:
