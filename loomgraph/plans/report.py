@@ -137,8 +137,8 @@ def parse_value(text: str) -> Any:
 
 def parse_call(text: str) -> tuple[str, dict]:
     """``name`` or ``name(key=value, ...)``."""
-    name, _, rest = text.strip().partition("(")
-    if not name.isidentifier() or rest and not rest.endswith(")"):
+    name, call, rest = text.strip().partition("(")
+    if not name.isidentifier() or call and not rest.endswith(")"):
         raise ValueError(f"not a task: {text!r}")
     kw = {}
     for part in filter(None, (p.strip() for p in rest[:-1].split(","))):
