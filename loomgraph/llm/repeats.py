@@ -266,7 +266,7 @@ def remove(docs: DataFrame, al: Alphabet, resolver: Resolver, keep_first: bool,
     spark = C.session_of(docs)
     C.small_batches(spark)
     docs = C.id_and_text(docs)
-    shards = C.parts_for(docs, 8)
+    shards = C.parts_for(docs, 2, 64)
     keyed = docs.select("doc_id", "text", *C.row_keys())
     parsed = C.materialize(parse(keyed, al, summary, fields), "parsed")
     held = C.materialize(keyed.join(repeated(parsed), ["k1", "k2"]).select("k1", "k2", "text", "again"), "held")
