@@ -90,20 +90,25 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST) -> dict:
     if not len(y) or y.min() == y.max():
         share = 0.5 if not len(y) else float(y[0])
         return {"keep": np.zeros(0, np.int64), "w": np.zeros(0), "b": float(np.log((share + 1e-3) / (1 - share + 1e-3)))}
-    grams = [np.cumsum(np.frombuffer(zlib.decompress(g), np.uint32), dtype=np.uint32) for _, g in rows]
-    counts = [np.zeros(2 << BITS, np.int32) for _ in range(2)]
-    for g, t in zip(grams, y, strict=True):
-        counts[int(t)][g] += 1
-    neg, pos = counts
+    def grams(packed: bytes) -> np.ndarray:
+        return np.cumsum(np.frombuffer(zlib.decompress(packed), np.uint32), dtype=np.uint32)
+
+    # rows are unpacked one at a time, and only features of enough rows get numbers of their own: small on the driver
+    counts = np.zeros((2, 2 << BITS), np.uint16)
+    for t, packed in rows:
+        counts[t][grams(packed)] += np.uint16(1)
+    often = np.flatnonzero(counts[0].astype(np.uint32) + counts[1] >= LEAST_DOCS)
+    neg, pos = counts[0][often].astype(float), counts[1][often].astype(float)
+    del counts
     p, q = (pos + 1.0) / (y.sum() + 2), (neg + 1.0) / ((1 - y).sum() + 2)
     ratio = np.log(p / q)
     telling = np.abs(ratio) * np.sqrt(pos / y.sum() + neg / (1 - y).sum())
-    telling[pos + neg < LEAST_DOCS] = 0
-    keep = np.sort(np.argpartition(-telling, KEEP)[:KEEP])
-    keep = keep[telling[keep] > 0]
-    cols = [np.flatnonzero(np.isin(keep, g, assume_unique=True)) for g in grams]
-    r = np.repeat(np.arange(len(cols)), [len(c) for c in cols])
-    w, b = fit_binary_features(r, np.concatenate(cols), y, ratio[keep], L2)
+    best = np.sort(np.argsort(-telling, kind="stable")[:KEEP])
+    best = best[telling[best] > 0]
+    keep, ratio = often[best], ratio[best]
+    cols = [np.flatnonzero(np.isin(keep, grams(packed), assume_unique=True)).astype(np.int32) for _, packed in rows]
+    r = np.repeat(np.arange(len(cols), dtype=np.int32), [len(c) for c in cols])
+    w, b = fit_binary_features(r, np.concatenate(cols), y, ratio, L2)
     return {"keep": keep, "w": w, "b": b}
 
 
