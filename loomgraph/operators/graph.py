@@ -11,13 +11,13 @@ from ..plans.state import cut
 
 
 def symmetric(raw: DataFrame) -> DataFrame:
-    """Both directions, each once, no loops."""
-    e = raw.select("src", "dst").where("src <> dst")
-    return e.union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    """Both directions, each once, no loops.  The input is computed once: each row gives both directions."""
+    both = F.inline(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+    return raw.where("src <> dst").select(both).distinct()
 
 
 def nodes_of(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id"))).distinct()
+    return edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
 
 
 def id_map(raw: DataFrame) -> DataFrame:
