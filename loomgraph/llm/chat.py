@@ -83,15 +83,22 @@ def paths(nodes: DataFrame, best: int = 1) -> DataFrame:
     known = base.join(there, _same("tree", "t") & (F.col("parent") == F.col("n")), "left")
     step = known.select("tree", "node", F.when(F.col("n").isNotNull(), F.col("parent")).alias("up"), "score", F.when(F.col("n").isNull(), 0).otherwise(1).cast("long").alias("depth"))
     first = C.materialize(step, "jump")
-    done, active, jumps = first.where("up is null"), first.where("up is not null"), []
-    # only messages that still have an ancestor are joined: short trees are finished after a few rounds
+    pool, active, jumps, finished = first, first.where("up is not null"), [], []
+    # a tree leaves the pool once all its messages know their root: short trees after a few rounds
     while len(jumps) < 40 and not active.isEmpty():
         jumps.append(active.select(F.col("tree").alias("t"), F.col("node").alias("n"), "up"))
-        over = done.union(active).select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("score").alias("s2"), F.col("depth").alias("d2"))
+        live = active.select(F.col("tree").alias("t")).distinct()
+        finished.append(pool.join(live, _same("tree", "t"), "left_anti"))
+        pool = pool.join(live, _same("tree", "t"), "left_semi")
+        over = pool.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("score").alias("s2"), F.col("depth").alias("d2"))
         longer = active.join(over, _same("tree", "t") & (F.col("up") == F.col("n")))
-        longer = C.materialize(longer.select("tree", "node", F.col("up2").alias("up"), (F.col("score") + F.col("s2")).alias("score"), (F.col("depth") + F.col("d2")).alias("depth")), "jump")
-        done, active = done.union(longer.where("up is null")), longer.where("up is not null")
-    step = done  # after 40 rounds, deeper than any table, what still has an ancestor runs in a cycle
+        longer = longer.select("tree", "node", F.col("up2").alias("up"), (F.col("score") + F.col("s2")).alias("score"), (F.col("depth") + F.col("d2")).alias("depth"))
+        pool = C.materialize(pool.where("up is null").union(longer), "jump")
+        active = pool.where("up is not null")
+    step = pool.where("up is null")  # after 40 rounds, deeper than any table, what still has an ancestor runs in a cycle
+    for part in finished:
+        step = step.union(part)
+    step = C.materialize(step, "depth")
     inner = first.where("up is not null").select(F.col("tree").alias("t"), F.col("up").alias("n")).distinct()
     leaves = step.join(inner, _same("tree", "t") & (F.col("node") == F.col("n")), "left_anti")
     order = Window.partitionBy("tree").orderBy(F.desc("score"), "node")
