@@ -13,7 +13,7 @@ Words are runs of letters and digits in lower case, so that punctuation and line
 The shingles of the benchmark are broadcast only up to ``BROADCAST_ROWS``; a larger benchmark is joined by shuffle.
 
 Defined results: null text has no words; documents or items of fewer than five words have no shingle and match nothing;
-items that repeat an item_id are held separately and the best match counts; repeated document rows give one row per id
+items that repeat an item_id are held separately and the best match counts; repeated document rows give one row per text
 and item; an empty table on either side gives no rows.
 """
 
@@ -62,6 +62,12 @@ def similarity(a: Column, b: Column) -> Column:
 
 def find(docs: DataFrame, benchmark: DataFrame, similarity_least: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """doc_id, item_id, start (word of the window), n_words of the item, hamming, similarity: the best window of each pair."""
+    found = matches(docs, benchmark, similarity_least, radius)
+    return found.select(F.when(F.col("k1") != C.NO_ID, F.col("k1")).alias("doc_id"), "item_id", "start", "n_words", "hamming", "similarity")
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, similarity_least: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+    """The same with the row's keys k1 and k2 (id and text) in place of doc_id."""
     if not 0 <= radius <= 31:
         raise ValueError("radius + 1 blocks of at least two bits are needed")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), shingle_hashes(F.col("text")).alias("item")).where(F.size("item") > 0).distinct()
@@ -95,11 +101,12 @@ def find(docs: DataFrame, benchmark: DataFrame, similarity_least: float = SIMILA
     near = near.where(F.col("hamming") <= radius).select("k1", "k2", "item_id", "item_key", "start", "hamming").distinct()
     checked = near.join(windows.select("k1", "k2", "item_id", "item_key", "start", "win"), ["k1", "k2", "item_id", "item_key", "start"]).join(items.select("item_id", "item_key", "item"), ["item_id", "item_key"])
     checked = checked.withColumn("similarity", similarity(F.col("win"), F.col("item"))).where(F.col("similarity") >= similarity_least)
-    best = checked.groupBy("k1", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), (F.size("item") + SHINGLE - 1).alias("n"), "hamming")).alias("b"))
-    return best.select(F.when(F.col("k1") != C.NO_ID, F.col("k1")).alias("doc_id"), "item_id", (-F.col("b.s")).alias("start"), F.col("b.n").alias("n_words"), F.col("b.hamming").alias("hamming"), F.col("b.similarity").alias("similarity"))
+    best = checked.groupBy("k1", "k2", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), (F.size("item") + SHINGLE - 1).alias("n"), "hamming")).alias("b"))
+    return best.select("k1", "k2", "item_id", (-F.col("b.s")).alias("start"), F.col("b.n").alias("n_words"), F.col("b.hamming").alias("hamming"), F.col("b.similarity").alias("similarity"))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a benchmark passage, with the columns of docs."""
-    bad = find(docs, benchmark).select(F.coalesce("doc_id", F.lit(C.NO_ID)).alias("_bad")).distinct()
-    return docs.join(bad, F.coalesce(docs["doc_id"].cast("long"), F.lit(C.NO_ID)) == bad["_bad"], "left_anti")
+    bad = matches(docs, benchmark).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct()
+    same_id = F.coalesce(docs["doc_id"].cast("long"), F.lit(C.NO_ID)) == bad["_k1"]
+    return docs.join(bad, same_id & (F.hash(F.coalesce(docs["text"].cast("string"), F.lit(""))) == bad["_k2"]), "left_anti")
