@@ -13,6 +13,8 @@ from ..plans.state import cut, fits
 from .graph import components
 
 EXACT_ROWS = 200_000
+#: A component graph of so few links, counted first, is solved on the driver; a larger one by joins.
+SMALL_LINKS = 100_000
 
 
 def _distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
@@ -125,10 +127,27 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
         marked = best.join(a, "src").join(b, "dst")
         links = marked.select(F.col("ca").alias("src"), F.col("cb").alias("dst")).union(marked.select(F.col("cb").alias("src"), F.col("ca").alias("dst"))).distinct()
         chosen = cut(best if chosen is None else chosen.union(best), "forest")
-        found = components(cut(links, "links")).withColumnRenamed("component", "new")
+        links = cut(links, "links")
+        found = (_small_components(links) if links.count() <= SMALL_LINKS else components(links)).withColumnRenamed("component", "new")
         part = cut(part.join(found.withColumnRenamed("id", "component"), "component", "left").select("id", F.coalesce("new", "component").alias("component")), "part")
 
 
+def _small_components(links: DataFrame) -> DataFrame:
+    """id, component of at most SMALL_LINKS links, by union-find on the driver."""
+    parent: dict[int, int] = {}
+
+    def root(i: int) -> int:
+        while parent.setdefault(i, i) != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for a, b in links.collect():
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    return links.sparkSession.createDataFrame([(i, root(i)) for i in parent], "id long, component long")
+
+
 def complete_edges(z: DataFrame) -> DataFrame:
     """All pairs of a small point set with their L2 distances: asked for by the exact tree, and as large as it must be."""
     a, b = z.select(F.col("id").alias("src"), F.col("vec").alias("a")), z.select(F.col("id").alias("dst"), F.col("vec").alias("b"))

@@ -144,11 +144,11 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def bipartite(edges: DataFrame) -> DataFrame:
+def bipartite(edges: DataFrame, comp: DataFrame | None = None) -> DataFrame:
     """component, bipartite: no edge joins two nodes at distances of equal parity from the least node."""
     from .paths import bfs
 
-    comp = cut(components(edges), "comp")
+    comp = components(edges) if comp is None else comp
     near = bfs(edges, comp.select(F.col("component").alias("id")).distinct())
     side = near.select("node", F.col("source").alias("component"), (F.col("dist") % 2).alias("side"))
     a = side.withColumnRenamed("node", "src").withColumnRenamed("side", "sa")
@@ -170,12 +170,13 @@ def profile(edges: DataFrame, sweeps: int = 8) -> dict:
     n = nodes_of(edges).count()
     m = edges.where("src < dst").count()
     top = degrees(edges).agg(F.max("deg")).first()[0] or 0
-    sizes = cut(components(edges), "comp").groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    comp = components(edges)
+    sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     count, giant = sizes.agg(F.count(F.lit(1)), F.max("n")).first()
     starts = nodes_of(edges).orderBy(F.md5(F.col("id").cast("string"))).limit(sweeps)
     far = bfs(edges, starts).groupBy("source").agg(F.max_by("node", F.struct("dist", "node")).alias("id")).select("id").distinct()
     diameter = bfs(edges, far).agg(F.max("dist")).first()[0] or 0
-    two = bipartite(edges).agg(F.min("bipartite")).first()[0] if m else True
+    two = bipartite(edges, comp).agg(F.min("bipartite")).first()[0] if m else True
     is_tree = m == n - count
     return {"n": n, "m": m, "avg_degree": 2 * m / n if n else 0.0, "max_degree": top, "components": count, "giant": (giant or 0) / n if n else 0.0, "diameter": diameter, "is_tree": is_tree, "bipartite": bool(two), "assortativity": assortativity(edges).first()[0], "class": "S" if diameter > 20 else "H"}
 

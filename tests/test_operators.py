@@ -252,3 +252,12 @@ def test_records_and_calls():
 def test_other_embeddings(grid, method):
     z = B.embed(method, grid, 4)
     assert z.count() == 36 and np.isfinite(vectors(z)).all() and vectors(z).shape == (36, 4)
+
+
+def test_seven_columns_are_cached(spark, grid):
+    from loomgraph.plans import seven
+
+    z, cache = B.spectral(grid, 2, 15).cache(), {}
+    entries = [{"graph": "grid", "method": "spectral", "seed": 1, "z": z}, {"graph": "grid", "method": "again", "seed": 2, "z": z}]
+    rows = seven.sequence(entries, lambda name: grid, cache, max_pairs=60, n_pairs=200, trees=5)
+    assert len(cache) == 1 and set(seven.COLUMNS) <= set(rows[0]) and rows[1]["rho"] == rows[0]["rho"] > 0.5
