@@ -11,9 +11,12 @@ from ..plans.state import cut
 
 
 def symmetric(raw: DataFrame) -> DataFrame:
-    """Both directions, each once, no loops.  The input is computed once: each row gives both directions."""
-    both = F.inline(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))
-    return raw.where("src <> dst").select(both).distinct()
+    """Both directions, each once, no loops.
+
+    A union of both directions measured faster than one pass that makes two rows of each: Spark reuses the shuffled input.
+    """
+    e = raw.select("src", "dst").where("src <> dst")
+    return e.union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
 def nodes_of(edges: DataFrame) -> DataFrame:
