@@ -1,0 +1,172 @@
+"""Near copies by exact Jaccard similarity of word shingles, with no pair lost: a prefix-filtered similarity join.
+
+Sets of similarity s share an element among their first ``n - ceil(s n) + 1`` in any common order.  The order puts
+shingles that are frequent in a sample last, so that sets meet at rare ones; it decides the cost, never the result.
+
+1. sets: texts with the same set of shingles collapse into one.
+2. buckets: sets meet at each shingle of their prefixes.
+3. stars: in each bucket all are held against one of them, a different one from bucket to bucket.
+4. rest: in each bucket, sets still in different components are held against each other.
+
+Every pair held is verified exactly.  A pair that stays unheld is in one component already, so components are those of
+all pairs within the similarity, while a large group of near copies makes few pairs.
+
+Defined results: null text and text without words have the empty set and are copies of each other; fewer words than a
+shingle make one shingle of the whole sequence; a null doc_id sorts before all others; an empty table gives no rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from . import common as C
+from . import simhash
+from .repeats import columns
+
+#: Least similarity as a fraction of whole numbers, so that the test has no rounding.
+LEAST = (4, 5)
+WORDS_EACH = 5
+#: Documents sampled for the order, and shingles the order names at most.
+SAMPLE, LISTED = 16_000, 200_000
+
+
+def shingles(text: bytes, words_each: int = WORDS_EACH) -> np.ndarray:
+    """The different shingles as sorted 64-bit hashes."""
+    words = text.translate(simhash._LOWER).split()
+    if not words:
+        return np.zeros(0, np.int64)
+    line, digest = b" ".join(words), xxhash.xxh64_intdigest
+    if len(words) <= words_each:
+        return np.array([digest(line, 42)], np.uint64).view(np.int64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = [0, *ends[: len(words) - words_each].tolist()]
+    stops = (ends[words_each - 1 :] - 1).tolist()
+    return np.unique(np.fromiter((digest(line[a:b], 42) for a, b in zip(starts, stops, strict=True)), np.uint64, len(starts)).view(np.int64))
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays]), pa.int64()))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """id, th, text: the row's name by id and text (null as NO_ID and empty), and the text as bytes."""
+    return C.id_and_text(docs).select(F.coalesce("doc_id", F.lit(C.NO_ID)).alias("id"), F.xxhash64("text").alias("th"), "text")
+
+
+def frequent(rows: DataFrame, words_each: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles (sorted) that several documents of a sample have, and in how many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for (text,) in columns(batch, "text"):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(text, words_each))], names=["shingle"])
+
+    share = max(1, int(1e6 * min(1.0, SAMPLE / max(rows.count(), 1))))
+    some = rows.where(F.pmod(F.xxhash64("th", "id"), F.lit(1_000_000)) < share)
+    counts = C.materialize(some.select("text").mapInArrow(run, "shingle long").groupBy("shingle").count().where("count > 1"), "frequent")
+    most, total = 2, 0
+    for r in sorted(counts.groupBy("count").agg(F.count("*").alias("n")).collect(), key=lambda r: -r["count"]):
+        total += r["n"]
+        if total > LISTED:
+            most = r["count"] + 1
+            break
+    listed = sorted((r["shingle"], r["count"]) for r in counts.where(F.col("count") >= most).collect())
+    C.discard(counts)
+    return np.array([s for s, _ in listed], np.int64), np.array([n for _, n in listed], np.int64)
+
+
+def sets(rows: DataFrame, order: tuple[np.ndarray, np.ndarray], words_each: int, least: tuple[int, int]) -> DataFrame:
+    """key, n, label (the least id and th of those with the set, and the key), prefix: a row per different set."""
+    told = C.session_of(rows).sparkContext.broadcast(order)
+
+    def prefix(s: np.ndarray) -> np.ndarray:
+        if not len(s):
+            return s
+        names, counts = told.value
+        rank = np.zeros(len(s), np.int64)
+        if len(names):
+            at = np.minimum(np.searchsorted(names, s), len(names) - 1)
+            rank = np.where(names[at] == s, counts[at], 0)
+        return s[np.lexsort((s, rank))[: len(s) - -(-least[0] * len(s) // least[1]) + 1]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            all_ = [shingles(t, words_each) for (t,) in columns(batch, "text")]
+            keys = np.array([xxhash.xxh64_intdigest(s.tobytes(), 7) for s in all_], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys), pa.array([len(s) for s in all_], pa.int32()), _lists([prefix(s) for s in all_])], names=["id", "th", "key", "n", "prefix"])
+
+    made = rows.select("id", "th", "text").mapInArrow(run, "id long, th long, key long, n int, prefix array<long>")
+    # copies have one n and one prefix
+    return made.groupBy("key").agg(F.first("n").alias("n"), F.min(F.struct("id", "th", "key")).alias("label"), F.first("prefix").alias("prefix"))
+
+
+def _could(a: Column, b: Column, least: tuple[int, int]) -> Column:
+    """Members (key, n, i) of a bucket that may be similar if it is the first shingle both have: i others come before.
+
+    Of what two similar sets share nothing comes before the first, so their first bucket always passes them.
+    """
+    up, down = least
+    return F.least(a["n"] - a["i"], b["n"] - b["i"]) * F.lit(up + down) >= (a["n"] + b["n"]) * F.lit(up)
+
+
+def _pair(a: Column, b: Column) -> list[Column]:
+    return [F.least(a["key"], b["key"]).alias("a"), F.greatest(a["key"], b["key"]).alias("b")]
+
+
+def verified(pairs: DataFrame, rows: DataFrame, kinds: DataFrame, words_each: int, least: tuple[int, int]) -> DataFrame:
+    """The pairs a, b whose sets are similar.  Sets are made from the text again, for the keys that are in pairs alone."""
+    up, down = least
+    wanted = C.materialize(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "wanted")
+    members = C.materialize(with_sets(rows, kinds.select("key", "label").join(wanted, "key"), words_each), "members")
+    both = pairs.join(members.select(F.col("key").alias("a"), F.col("set").alias("s")), "a").join(members.select(F.col("key").alias("b"), F.col("set").alias("t")), "b")
+    return both.where(F.size(F.array_intersect("s", "t")) * F.lit(up + down) >= (F.size("s") + F.size("t")) * F.lit(up)).select("a", "b")
+
+
+def with_sets(rows: DataFrame, wanted: DataFrame, words_each: int) -> DataFrame:
+    """key, set of the wanted (key, label)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists([shingles(t, words_each) for (t,) in columns(batch, "text")])], names=["key", "set"])
+
+    named = rows.join(wanted.select("key", F.col("label.id").alias("id"), F.col("label.th").alias("th")), ["id", "th"]).select("key", "text")
+    # rows that repeat id and text make one
+    return named.mapInArrow(run, "key long, set array<long>").dropDuplicates(["key"])
+
+
+def groups(docs: DataFrame, words_each: int = WORDS_EACH, least: tuple[int, int] = LEAST) -> DataFrame:
+    """key, label, root: for each different set of shingles the least row that has it, and the least of its component.
+
+    label and root are structs of id, th (keyed) and key.
+    """
+    C.small_batches(C.session_of(docs))
+    rows = keyed(docs)
+    kinds = C.materialize(sets(rows, frequent(rows, words_each), words_each, least), "kinds")
+    entries = kinds.select("key", "n", F.posexplode("prefix").alias("i", "shingle"))
+    met = entries.groupBy("shingle").agg(F.collect_list(F.struct("key", "n", "i")).alias("ms")).where(F.size("ms") > 1)
+    met = C.materialize(met, "met")
+    C.free_shuffles(C.session_of(docs))
+    drawn = F.transform("ms", lambda m: F.struct(F.xxhash64(m["key"], F.col("shingle")).alias("draw"), m["key"].alias("key"), m["n"].alias("n"), m["i"].alias("i")))
+    stars = met.select(F.array_min(drawn).alias("x"), F.explode("ms").alias("y")).where((F.col("x.key") != F.col("y.key")) & _could(F.col("x"), F.col("y"), least))
+    stars = C.materialize(stars.select(*_pair(F.col("x"), F.col("y"))).distinct(), "stars")
+    edges = C.materialize(verified(stars, rows, kinds, words_each, least), "edges")
+    nodes = kinds.select(F.col("key").alias("node"), "label")
+    found = simhash.components(nodes, edges).select(F.col("node").alias("key"), F.col("root.key").alias("comp"))
+    placed = met.select("shingle", F.explode("ms").alias("m")).select("shingle", "m", F.col("m.key").alias("key")).join(found, "key", "left")
+    parts = placed.groupBy("shingle", F.coalesce("comp", "key").alias("comp")).agg(F.collect_list("m").alias("ms"))
+    several = parts.groupBy("shingle").count().where("count > 1").select("shingle")
+    parts = C.materialize(parts.join(several, "shingle"), "parts")
+    left, right = parts.select("shingle", F.col("comp").alias("c"), F.col("ms").alias("xs")), parts.select("shingle", F.col("comp").alias("d"), F.col("ms").alias("ys"))
+    cross = left.join(right, "shingle").where("c < d").select(F.explode("xs").alias("x"), "ys").select("x", F.explode("ys").alias("y"))
+    cross = cross.where(_could(F.col("x"), F.col("y"), least)).select(*_pair(F.col("x"), F.col("y"))).distinct().join(stars, ["a", "b"], "left_anti")
+    C.free_shuffles(C.session_of(docs))
+    edges = C.materialize(edges.union(verified(C.materialize(cross, "cross"), rows, kinds, words_each, least)), "edges")
+    roots = simhash.components(nodes, edges).select(F.col("node").alias("key"), "root")
+    return kinds.select("key", "label").join(roots, "key", "left").select("key", "label", F.coalesce("root", "label").alias("root"))
