@@ -55,9 +55,16 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays]), pa.int64()))
 
 
+def name() -> list[Column]:
+    """What names a row: its id (null as NO_ID) and a hash of its text (null as empty)."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(C.NO_ID)), F.xxhash64(text)]
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """id, th, text: the row's name by id and text (null as NO_ID and empty), and the text as bytes."""
-    return C.id_and_text(docs).select(F.coalesce("doc_id", F.lit(C.NO_ID)).alias("id"), F.xxhash64("text").alias("th"), "text")
+    """id, th, text: the row's name, and the text as bytes."""
+    row_id, th = name()
+    return docs.select(row_id.alias("id"), th.alias("th"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
 
 
 def frequent(rows: DataFrame, words_each: int) -> tuple[np.ndarray, np.ndarray]:

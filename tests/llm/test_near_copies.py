@@ -83,3 +83,14 @@ def test_stage_keeps_one_of_each_group_of_near_copies(spark, sf_dir):
 
 def test_no_rows(spark, sf_dir):
     assert corpus_pipeline.near_dedup(spark, docs_of(spark, []), sf_dir).count() == 0
+
+
+def test_one_row_of_each_component_under_null_and_repeated_ids(spark, sf_dir):
+    texts = planted(4)
+    ids = [(None, 5, i)[i % 3] for i in range(len(texts))]
+    root = components([shingles(t) for t in texts])
+    kept = corpus_pipeline.near_dedup(spark, docs_of(spark, [(d, t, "a") for d, t in zip(ids, texts)] * 2), sf_dir).collect()
+    named = {(d, t or ""): root[i] for i, (d, t) in enumerate(zip(ids, texts))}
+    assert sorted(named[r.doc_id, r.text or ""] for r in kept) == sorted(set(root))
+    least = {r: min(-1 if d is None else d for d, q in zip(ids, root) if q == r) for r in set(root)}
+    assert all((-1 if r.doc_id is None else r.doc_id) == least[named[r.doc_id, r.text or ""]] for r in kept)
