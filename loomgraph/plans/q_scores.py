@@ -309,13 +309,13 @@ def _told(spark, result):
 @query()
 def link_prediction_rf(spark, sf):
     e, z = _z(spark, sf)
-    return _told(spark, TK.link_prediction(e, z, PR.LinkPrediction(1000, n_estimators=20), 42, False))
+    return _told(spark, TK.link_prediction(e, z, PR.LinkPrediction(), 42, False))
 
 
 @query()
 def dist_approx_rf(spark, sf):
     e, z = _z(spark, sf)
-    return _told(spark, TK.dist_approx(e, z, PR.DistanceApproximation(1000, models=("baseline", "rf"), n_estimators=20, min_hop=1), 42, False))
+    return _told(spark, TK.dist_approx(e, z, PR.DistanceApproximation(), 42, False))
 
 
 @query()
