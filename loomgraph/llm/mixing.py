@@ -5,6 +5,8 @@ at ``stop`` times its source's size and the excess is shared again by weight.  W
 floor(target / size) whole times for certain; for the rest, documents are ranked by random odds over inclusion odds
 (Pareto order sampling) and taken in that order up to the target, to the nearest document.
 
+The query and its SQL form pass no merit: probabilities are equal within a source, and the order is a plain random one.
+
 The running sum per source is never made in one task: documents fall into ``BINS`` bins of their rank value, bins are
 summed, and only the bin that holds the cut is put in order.
 
