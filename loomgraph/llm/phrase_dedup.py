@@ -1,6 +1,7 @@
 """Substring dedup by repeated-phrase automata: removes words covered by a window that also starts earlier.
 
-Recurring passages are confirmed first (``repeats``: triggers, then phrases seen again).  Where a trigger has several
+Recurring passages are confirmed first (``repeats``: triggers, then phrases seen again); equal phrases, so whole copies
+too, are settled there by a group-by on (trigger, hash) and never reach an automaton.  Where a trigger has several
 different phrases, its shard compiles the recurring 20-word windows into an Aho-Corasick automaton (pyahocorasick; one
 character stands for one word) and streams every phrase of the shard through it, which gives each window's every
 occurrence; the earliest stays.  Documents reach only the shards of their own triggers, so the work is linear.
