@@ -3,8 +3,9 @@
 Prefix-free parsing: rolling-hash triggers cut the corpus into overlapping phrases (``repeats``); the parse is each
 document's sequence of phrase ids, the dictionary is the set of different phrases.  A phrase seen twice settles all its
 windows.  For the others the dictionary's suffixes are put in order by prefix doubling up to the window length,
-shard by shard (a shard holds all phrases of its triggers, and equal windows have equal triggers), and the order of
-the dictionary carries over to the corpus through the parse.
+shard by shard (a shard holds all phrases of its triggers, and equal windows have equal triggers).  No suffix array of
+the parse is built and no order of the corpus made: removal asks only whether windows are equal, which hash counts of
+phrases and the ranks within a shard decide.
 
 Defined results: null text counts as empty; a text shorter than the window loses nothing; all occurrences of a repeated
 string go, the first included; rows that repeat a doc_id are separate documents; an empty table gives no rows.
