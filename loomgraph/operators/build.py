@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from ..plans.state import cut, fits
 from .graph import components
 
-EXACT_ROWS = 200_000
 #: A component graph of so few links, counted first, is solved on the driver; a larger one by joins.
 SMALL_LINKS = 100_000
 
@@ -73,14 +72,13 @@ def _nearest(qid, q, ids, vec, k, metric) -> pd.DataFrame:
     take = min(k, max(len(ids), 1))
     near = np.argpartition(dist, take - 1, axis=1)[:, :take] if len(ids) > take else np.tile(np.arange(len(ids)), (len(qid), 1))
     # ties at the edge: take all as near as the k-th, then order by (dist, id)
-    out = []
-    for i in range(len(qid)):
-        edge = dist[i, near[i]].max()
-        c = np.flatnonzero(dist[i] <= edge) if np.isfinite(edge) else near[i]
-        c = c[np.isfinite(dist[i, c])]
-        c = c[np.lexsort((ids[c], dist[i, c]))][:k]
-        out.append(pd.DataFrame({"id": qid[i], "neighbour": ids[c], "dist": dist[i, c], "rank": np.arange(1, len(c) + 1, dtype=np.int32)}))
-    return pd.concat(out) if out else pd.DataFrame({"id": [], "neighbour": [], "dist": [], "rank": []})
+    edge = np.take_along_axis(dist, near, axis=1).max(axis=1, initial=-np.inf)
+    row, col = np.nonzero((dist <= edge[:, None]) & np.isfinite(dist))
+    order = np.lexsort((ids[col], dist[row, col], row))
+    row, col = row[order], col[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    row, col, rank = row[rank < k], col[rank < k], rank[rank < k]
+    return pd.DataFrame({"id": qid[row], "neighbour": ids[col], "dist": dist[row, col], "rank": (rank + 1).astype(np.int32)})
 
 
 def knn_approx(z: DataFrame, k: int, buckets: float = 0.5, tables: int = 8) -> DataFrame:
@@ -98,10 +96,10 @@ def knn_approx(z: DataFrame, k: int, buckets: float = 0.5, tables: int = 8) -> D
     return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("id", F.col("other").alias("neighbour"), "rank", "dist")
 
 
-def knn(z: DataFrame, k: int, metric: str = "euclidean", exact: bool | None = None, queries: DataFrame | None = None) -> DataFrame:
-    """Exact up to EXACT_ROWS rows (always for other metrics than euclidean), else approximate."""
-    if exact is None:
-        exact = metric != "euclidean" or z.count() <= EXACT_ROWS
+def knn(z: DataFrame, k: int, metric: str = "euclidean", exact: bool = True, queries: DataFrame | None = None) -> DataFrame:
+    """Exact at every size, unless the caller asks for the approximate search (euclidean only)."""
+    if not exact and (metric != "euclidean" or queries is not None):
+        raise ValueError("the approximate search is euclidean and takes all points as queries")
     return knn_exact(z, k, metric, queries) if exact else knn_approx(z, k)
 
 

@@ -19,8 +19,16 @@ def symmetric(raw: DataFrame) -> DataFrame:
     return e.union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
-def nodes_of(edges: DataFrame) -> DataFrame:
-    return edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+def nodes_of(edges: DataFrame, also: DataFrame | None = None) -> DataFrame:
+    """The ends of the edges, and with ``also`` (id) nodes that may have none."""
+    ids = edges.select(F.explode(F.array("src", "dst")).alias("id"))
+    return (ids if also is None else ids.union(also.select("id"))).distinct()
+
+
+def base_graph(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The nodes (id) and a table of no edges between them, to which strategies add."""
+    ids = nodes.select(F.col("id").cast("long").alias("id")).distinct()
+    return ids, ids.select(F.col("id").alias("src"), F.col("id").alias("dst")).where("false")
 
 
 def id_map(raw: DataFrame) -> DataFrame:
@@ -136,6 +144,7 @@ def descendants(up: DataFrame, root, cap: int | None = None) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """id, component: the least id reachable.  Least labels of neighbours, then jumps to the label's own label."""
+    edges = cut(edges.select("src", "dst"), "edges")  # read in each round
     labels = cut(nodes_of(edges).select("id", F.col("id").alias("component")), "label")
     while True:
         near = edges.join(labels.select(F.col("id").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("component").alias("near"))

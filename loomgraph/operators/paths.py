@@ -10,18 +10,21 @@ from .graph import degrees, nodes_of
 
 
 def bfs(edges: DataFrame, sources: DataFrame, radius: int | None = None, targets: DataFrame | None = None) -> DataFrame:
-    """source, node, dist for all nodes reached from sources(id), the source itself at 0.
+    """source, node, dist for all nodes reached from sources(id), the source itself at 0; edges in both directions.
 
     A level is one join of the frontier with the edges, less what is known.  With targets(source, node) it stops once
     all of them are found.
     """
     level = sources.select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(0).alias("dist")).distinct()
     level = seen = cut(level, "bfs")
+    before = level.limit(0)
     d = 0
     while radius is None or d < radius:
         d += 1
         step = edges.join(level.select("source", F.col("node").alias("src")), "src").select("source", F.col("dst").alias("node")).distinct()
-        level = cut(step.join(seen.select("source", "node"), ["source", "node"], "left_anti").withColumn("dist", F.lit(d)), "bfs")
+        # edges lead both ways: a neighbour of this level is in the level before, in this one, or new
+        known = level.select("source", "node").union(before.select("source", "node"))
+        level, before = cut(step.join(known, ["source", "node"], "left_anti").withColumn("dist", F.lit(d)), "bfs"), level
         if level.isEmpty():
             break
         seen = seen.unionByName(level)

@@ -15,6 +15,8 @@ from ..plans.state import cut
 
 EPS = 2.220446049250313e-16
 H_STAR_TOL = 0.02
+#: Ranks in a chunk of running counts.
+CHUNK = 4096
 
 
 def midranks(df: DataFrame, col: str, out: str) -> DataFrame:
@@ -83,8 +85,8 @@ def _concordance(df: DataFrame, x: str, y: str) -> DataFrame:
 def _inversions(per: DataFrame, x: str, y: str) -> float:
     """Pairs with x1 < x2 and y1 > y2, weighed by counts.
 
-    A binary indexed tree as a table: each row adds its count to the log2(n) nodes above its y rank, and asks the nodes
-    below it; both meet by an equi-join in the order of x through range sums.
+    A binary tree over the y ranks as a table: a row belongs to log2(n) of its nodes, and in each counts the rows of the
+    other half that lie before it by x, through running sums over chunks of x ranks and inside them.
     """
     ys = per.select(y).distinct()
     ys = running(ys.withColumn("_one", F.lit(1)), y, "_one", "ry").select(y, "ry")
@@ -93,11 +95,16 @@ def _inversions(per: DataFrame, x: str, y: str) -> float:
     top = cells.agg(F.max("ry")).first()[0] or 1
     levels = max(1, int(top).bit_length())
     # pairs with ry1 > ry2 part at the highest bit where they differ: ry1 has 1 there, ry2 has 0, and the bits above agree
-    levels_col = F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))
-    rows = cells.withColumn("b", levels_col).withColumn("node", F.shiftright("ry", 1)).select("b", "rx", "m", F.expr("shiftright(ry, b + 1)").alias("node"), F.expr("shiftright(ry, b) & 1").alias("bit"))
-    w = Window.partitionBy("b", "node").orderBy("rx").rangeBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.when(F.col("bit") == 1, F.col("m"))).over(w), F.lit(0))
-    return float(rows.withColumn("before", before).where("bit = 0").agg(F.sum(F.col("m").cast("double") * F.col("before"))).first()[0] or 0.0)
+    rows = cells.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
+    bit = F.expr("shiftright(ry, b) & 1")
+    part = [F.sum(F.when(bit == v, F.col("m")).otherwise(0)).alias(n) for v, n in ((1, "ones"), (0, "zeros"))]
+    # equal x don't count for each other, so a row a rank is enough; ranks go in chunks, as one node may hold all of them
+    ranks = cut(rows.groupBy("b", F.expr("shiftright(ry, b + 1)").alias("node"), "rx").agg(*part).withColumn("chunk", F.floor(F.col("rx") / CHUNK)), "ranks")
+    order = Window.partitionBy("b", "node").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = ranks.groupBy("b", "node", "chunk").agg(F.sum("ones").alias("ones")).select("b", "node", "chunk", F.coalesce(F.sum("ones").over(order), F.lit(0)).alias("earlier"))
+    here = Window.partitionBy("b", "node", "chunk").orderBy("rx").rowsBetween(Window.unboundedPreceding, -1)
+    counted = ranks.withColumn("inside", F.coalesce(F.sum("ones").over(here), F.lit(0))).where("zeros > 0").join(chunks, ["b", "node", "chunk"])
+    return float(counted.agg(F.sum(F.col("zeros").cast("double") * (F.col("earlier") + F.col("inside")))).first()[0] or 0.0)
 
 
 def kendall_tau_b(df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:

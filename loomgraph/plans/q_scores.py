@@ -172,7 +172,10 @@ def distortion(spark, sf):
     return rounded(M.distortion(xy(spark, sf), 4.0))
 
 
-@query()
+@query(XY + """, per AS (SELECT *, sum(w) OVER (ORDER BY i) AS cw, sum(w * m) OVER (ORDER BY i) AS cs FROM (SELECT x, avg(y::DOUBLE) AS m, count(*)::DOUBLE AS w, row_number() OVER (ORDER BY x) AS i FROM xy GROUP BY x)),
+win AS (SELECT a.i AS j, b.i, min((b.cs - a.cs + a.w * a.m) / (b.cw - a.cw + a.w)) OVER (PARTITION BY a.i ORDER BY b.i DESC) AS v FROM per a JOIN per b ON a.i <= b.i),
+fit AS (SELECT per.i, any_value(w) AS w, max(v) AS f FROM win JOIN per ON per.i = win.i GROUP BY per.i), a AS (SELECT count(*) AS n, avg(y::DOUBLE) AS mean, var_pop(y::DOUBLE) AS var FROM xy), top AS (SELECT max(f) - 0.02 AS t FROM fit)
+SELECT round(sum(w * (f - mean) * (f - mean)) / any_value(n) / any_value(var), 6) AS isotonic_r2, round(min(CASE WHEN f >= t THEN f END), 6) AS h_star, round(sum(CASE WHEN f >= t THEN w ELSE 0 END) / any_value(n), 6) AS share FROM fit, a, top""")
 def isotonic_fit(spark, sf):
     f = M.isotonic_fit(xy(spark, sf))
     return spark.createDataFrame([(round(f["isotonic_r2"], 6), round(f["h_star"], 6), round(f["share"], 6))], "isotonic_r2 double, h_star double, share double")

@@ -12,8 +12,11 @@ BROADCAST_BYTES = 64 << 20
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a local default only where the session names none."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL).rstrip("/")
+    """The shared folder of the cluster; a local default only on one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (named or LOCAL).rstrip("/")
 
 
 def cut(df: DataFrame, name: str = "step") -> DataFrame:

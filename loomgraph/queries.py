@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import augment, engine
-from .plans import q_forces, q_graph, q_pairs, q_scores
+from .plans import q_files, q_forces, q_graph, q_pairs, q_scores
 from .plans.state import cut
 
-_PARTS = (q_graph, q_pairs, q_forces, q_scores)
+_PARTS = (q_graph, q_pairs, q_forces, q_scores, q_files)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,13 @@
 """Readers and writers of graph, embedding and record files.
 
 Text formats go through Spark's text source, so a file of any size is split among tasks.  Formats that only NumPy reads
-(.npz) are loaded on the driver and are meant for small inputs.
+(.npz, .npy) and small JSON records are fetched whole to the driver, from any store Spark reads; they are meant for small
+inputs.
 """
 
 from __future__ import annotations
 
+import io
 import json
 import os
 from collections.abc import Callable
@@ -19,6 +21,29 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
+def get_bytes(spark: SparkSession, path: str) -> bytes | None:
+    """A whole small file of any store; None if there is none."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return None
+    return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
+
+
+def put_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """Write a small file to any store; folders are made on the way."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    out.write(bytearray(data))
+    out.close()
+
+
+def _arrays(spark: SparkSession, path: str):
+    data = get_bytes(spark, path)
+    if data is None:
+        raise FileNotFoundError(path)
+    return np.load(io.BytesIO(data))
+
+
 def citation_edges(spark: SparkSession, path: str) -> DataFrame:
     """White-space pairs of integer paper ids."""
     f = F.split(F.trim("value"), r"\s+")
@@ -66,6 +91,23 @@ def taxonomy_edges(spark: SparkSession, path: str) -> DataFrame:
 READERS: dict[str, Callable] = {"citation": citation_edges, "named": named_edges, "papers": paper_edges, "tabbed": tabbed_edges, "nouns": noun_pointers, "taxonomy": taxonomy_edges}
 
 
+# Public graphs by name, the format of each and its usual place under a data folder.
+REGISTRY = {
+    "cora": ("citation", "cora/cora.cites"),
+    "citeseer": ("named", "citeseer/citeseer.cites"),
+    "pubmed": ("papers", "pubmed/Pubmed-Diabetes.DIRECTED.cites.tab"),
+    "com_youtube": ("tabbed", "com_youtube/com-youtube.ungraph.txt"),
+    "as_skitter": ("tabbed", "as_skitter/as-skitter.txt"),
+    "roadnet_ca": ("tabbed", "roadnet_ca/roadNet-CA.txt"),
+    "wordnet": ("nouns", "wordnet/data.noun"),
+    "ncbi_taxonomy": ("taxonomy", "ncbi_taxonomy/nodes.dmp"),
+}
+#: Where the registry's files lie, unless a caller says otherwise.
+DATA = os.environ.get("LOOMGRAPH_DATA", "data")
+#: Of these formats edges lead from child to parent; they are cut to a subtree, not to a ball.
+TREES = ("nouns", "taxonomy")
+
+
 def read_edges(spark: SparkSession, name: str, path: str) -> DataFrame:
     if name not in READERS:
         raise KeyError(f"unknown format {name!r}; there are {', '.join(sorted(READERS))}")
@@ -92,7 +134,7 @@ def matrix_market(spark: SparkSession, path: str) -> DataFrame:
 
 def npz_graph(spark: SparkSession, path: str) -> DataFrame:
     """``edges`` (m, 2), ``A`` (dense) or a compressed sparse row triple."""
-    with np.load(path) as f:
+    with _arrays(spark, path) as f:
         if "edges" in f:
             e = f["edges"]
         elif "A" in f:
@@ -155,15 +197,21 @@ def embedding_embd(spark: SparkSession, path: str, n: int, dim: int) -> DataFram
 
 def embedding_npz(spark: SparkSession, path: str) -> DataFrame:
     """Key ``Z``, or the only key there is."""
-    with np.load(path) as f:
+    with _arrays(spark, path) as f:
         z = f["Z"] if "Z" in f else f[f.files[0]]
     return spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(z)], "id long, vec array<float>")
 
 
-def load_graph(spark: SparkSession, src, fmt: str | None = None, max_nodes: int = 0) -> tuple[DataFrame, dict]:
-    """A DataFrame, a file by its ending, or a file of a named format -> symmetric edges and facts about them."""
+def load_graph(spark: SparkSession, src, fmt: str | None = None, max_nodes: int = 0, seed: int = 42, data: str | None = None) -> tuple[DataFrame, dict]:
+    """A DataFrame, a registry name, a file by its ending, or a file of a named format -> symmetric edges and facts.
+
+    With max_nodes a graph is cut to the ball of so many nodes round a drawn start, a tree to a subtree.
+    """
     from ..operators import graph as G
 
+    if not isinstance(src, DataFrame) and not fmt and src in REGISTRY:
+        fmt, at = REGISTRY[src]
+        src = f"{data or DATA}/{at}"
     if isinstance(src, DataFrame):
         raw, name = src, "dataframe"
     elif fmt:
@@ -176,9 +224,11 @@ def load_graph(spark: SparkSession, src, fmt: str | None = None, max_nodes: int
         raw, name = spark.read.parquet(src), src
     else:
         raw, name = edge_list(spark, src), src
+    if max_nodes and fmt in TREES:
+        raw = G.subtree(raw, max_nodes, seed)
     e = G.symmetric(raw)
-    if max_nodes:
-        e = G.ball(e, max_nodes)
+    if max_nodes and fmt not in TREES:
+        e = G.ball(e, max_nodes, seed)
     n, m = G.nodes_of(e).count(), e.where("src < dst").count()
     return e, {"source": str(name), "n": n, "n_edges": m, "avg_degree": 2 * m / n if n else 0.0}
 
@@ -188,7 +238,7 @@ def load_embedding(spark: SparkSession, src, nodes: DataFrame | None = None) ->
     if isinstance(src, DataFrame):
         z = src
     elif str(src).endswith((".npz", ".npy")):
-        z = embedding_npz(spark, src) if str(src).endswith(".npz") else spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(np.load(src))], "id long, vec array<float>")
+        z = embedding_npz(spark, src) if str(src).endswith(".npz") else spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(_arrays(spark, src))], "id long, vec array<float>")
     elif str(src).endswith((".csv", ".tsv")):
         z = embedding_csv(spark, src, "\t" if str(src).endswith(".tsv") else ",", nodes)
     elif str(src).endswith(".parquet"):
@@ -212,23 +262,20 @@ def graph_hash(edges: DataFrame) -> str:
 
 def write_profile(edges: DataFrame, profile: dict, folder: str) -> str:
     path = f"{folder}/{graph_hash(edges)}.json"
-    os.makedirs(folder, exist_ok=True)
-    with open(path, "w") as f:
-        json.dump(profile, f)
+    put_bytes(edges.sparkSession, path, json.dumps(profile).encode())
     return path
 
 
 def read_profile(edges: DataFrame, folder: str) -> dict | None:
-    path = f"{folder}/{graph_hash(edges)}.json"
-    if not os.path.exists(path):
-        return None
-    with open(path) as f:
-        return json.load(f)
+    data = get_bytes(edges.sparkSession, f"{folder}/{graph_hash(edges)}.json")
+    return None if data is None else json.loads(data)
 
 
 def read_context(path: str) -> dict:
-    with open(path) as f:
-        return json.load(f)
+    data = get_bytes(SparkSession.getActiveSession() or SparkSession.builder.getOrCreate(), str(path))
+    if data is None:
+        raise FileNotFoundError(path)
+    return json.loads(data)
 
 
 def read_result_lines(spark: SparkSession, path: str) -> DataFrame:
