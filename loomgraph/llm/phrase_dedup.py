@@ -1,10 +1,13 @@
 """Substring dedup by repeated-phrase automata: removes words covered by a window that also starts earlier.
 
-Recurring passages are confirmed first (``repeats``: triggers, then phrases seen again); equal phrases, so whole copies
-too, are settled there by a group-by on (trigger, hash) and never reach an automaton.  Where a trigger has several
-different phrases, its shard compiles the recurring 20-word windows into an Aho-Corasick automaton (pyahocorasick; one
-character stands for one word) and streams every phrase of the shard through it, which gives each window's every
-occurrence; the earliest stays.  Documents reach only the shards of their own triggers, so the work is linear.
+1. Confirm (``repeats``): stretches of text whose trigger recurs are candidates.  Equal stretches are one entry with the
+   number of its occurrences; a stretch seen twice, alone with its trigger, is a recurring passage as a whole.  Where a
+   trigger has several different stretches, the passages are those of their windows whose hashes recur.
+2. Compile: each shard's passages go into an Aho-Corasick automaton (pyahocorasick; one character stands for one word).
+3. Stream: every stretch of the shard's triggers, from all documents, runs through the automaton, which locates each
+   passage; the earliest place stays, all others are removed.  Only what the automata find is removed.
+
+A document reaches the shards of its own recurring triggers alone, so the work is linear.
 
 Defined results: null text has no words; fewer words than the window lose nothing; order is doc_id (null first), then
 start; rows with the same doc_id and text count as one document; an empty table gives no rows.
@@ -17,11 +20,15 @@ import hashlib
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+from . import common as C
 from . import repeats as R
 
 _SURROGATES = 0xD800
+#: Different stretches behind one trigger that a shard takes.
+HOT = 10_000
 
 
 class _Letters(dict):
@@ -33,53 +40,95 @@ class _Letters(dict):
         return letter
 
 
+def recurring(lines: list[str], weights: list[int], window: int) -> list[np.ndarray]:
+    """For each line, whether the window at each place recurs, by its hash: a superset of those that do."""
+    sizes = np.array([len(x) for x in lines], np.int64)
+    units = C.mix64(np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1 << 40))
+    place = np.arange(len(units)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    inside = np.flatnonzero(place <= np.repeat(sizes, sizes) - window)
+    kind = np.unique(R.rolling(units, window)[inside], return_inverse=True)[1]
+    flags = np.zeros(len(units), bool)
+    flags[inside] = (np.bincount(kind, np.repeat(weights, sizes)[inside]) >= 2)[kind]
+    ends = np.cumsum(sizes)
+    return [flags[e - s : e - window + 1] for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
+
+
+def _extend(runs: list[int], first: int, last: int) -> None:
+    if runs and first <= runs[-1] + 1:
+        runs[-1] = max(runs[-1], last)
+    else:
+        runs += (first, last)
+
+
 def by_automaton(window: int) -> R.Resolver:
-    def resolver(groups: list[R.Group]) -> list[list[np.ndarray]]:
+    """Marks of windows located in more than one place, and of those whose first place isn't the phrase's own."""
+
+    def resolver(keyed: list[tuple[int, list[R.Member]]]) -> list[list[list[list[int]]]]:
+        groups = [g for _, g in keyed]
         letters = _Letters()
-        lines = [[("".join([letters[w] for w in phrase.split(b" ")]), place) for phrase, place in g] for g in groups]
-        seen: set[str] = set()
-        recurring: set[str] = set()
-        for g in lines:
-            for line, _ in g:
-                for i in range(len(line) - window + 1):
-                    piece = line[i : i + window]
-                    (recurring if piece in seen else seen).add(piece)
-        flags = [[np.zeros(len(line) - window + 1, bool) for line, _ in g] for g in lines]
-        if not recurring:
-            return flags
+        lines = [["".join([letters[w] for w in phrase.split(b" ")]) for phrase, *_ in g] for g in groups]
         machine = ahocorasick.Automaton()
-        for k, piece in enumerate(recurring):
-            machine.add_word(piece, k)
+        several = [a for a, g in enumerate(groups) if len(g) > 1]
+        if several:
+            found = iter(recurring([x for a in several for x in lines[a]], [min(m[2], 2) for a in several for m in groups[a]], window))
+            for a in several:
+                for line in lines[a]:
+                    for i in np.flatnonzero(next(found)).tolist():
+                        passage = line[i : i + window]
+                        machine.add_word(passage, passage)
+        for a, g in enumerate(groups):
+            if len(g) == 1 and g[0][2] > 1:
+                machine.add_word(lines[a][0], lines[a][0])
+        marks: list[list[list[list[int]]]] = [[[[], []] for _ in g] for g in lines]
+        if not len(machine):
+            return marks
         machine.make_automaton()
-        first: dict[int, tuple[int, int, int]] = {}
+        first: dict[str, tuple[int, int, int]] = {}
+        times: dict[str, int] = {}
         hits = []
         for a, g in enumerate(lines):
-            for b, (line, (k1, k2, start)) in enumerate(g):
-                for end, k in machine.iter(line):
-                    i = end - window + 1
+            for line, (_, _, n_seen, (k1, k2, start)), runs in zip(g, groups[a], marks[a], strict=True):
+                for end, passage in machine.iter(line):
+                    i = end - len(passage) + 1
                     place = (k1, k2, start + i)
-                    hits.append((k, place, a, b, i))
-                    if k not in first or place < first[k]:
-                        first[k] = place
-        for k, place, a, b, i in hits:
-            if place != first[k]:
-                flags[a][b][i] = True
-        return flags
+                    hits.append((passage, place, runs, i))
+                    times[passage] = times.get(passage, 0) + n_seen
+                    if passage not in first or place < first[passage]:
+                        first[passage] = place
+        for passage, place, (located, later), i in hits:  # within a line in the order of their ends
+            if times[passage] > 1:
+                upto = i + len(passage) - window
+                _extend(located, i, upto)
+                if place != first[passage]:
+                    _extend(later, i, upto)
+        return marks
 
     return resolver
 
 
 def dedup(docs: DataFrame, window: int = 20, gram: int = 6) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and removed (start, end word offsets)."""
-    al = R.Alphabet(window, gram, R.WORDS.cut, R.WORDS.hashed, R.WORDS.join)
     fields = [("n_words", pa.int64(), "long"), ("n_removed", pa.int64(), "long"), ("kept_sha256", pa.string(), "string"), ("removed", pa.list_(pa.int64()), "array<long>")]
 
-    def summary(seq: list[bytes]) -> tuple:
-        return len(seq), 0, hashlib.sha256(b" ".join(seq)).hexdigest(), []
+    def summary(text: bytes) -> tuple:
+        words = text.split()
+        return len(words), 0, hashlib.sha256(b" ".join(words)).hexdigest(), []
 
     def finish(seq: list[bytes], gone: np.ndarray) -> tuple:
         spans = [x + i % 2 for i, x in enumerate(R.runs_of(gone))]
-        kept = b" ".join([w for w, g in zip(seq, gone.tolist(), strict=True) if not g])
-        return len(seq), int(gone.sum()), hashlib.sha256(kept).hexdigest(), spans
-
-    return R.remove(docs, al, by_automaton(window), True, summary, fields, finish)
+        rest = [0, *spans, len(seq)]
+        kept = [w for a, b in zip(rest[::2], rest[1::2], strict=True) for w in seq[a:b]]
+        return len(seq), int(gone.sum()), hashlib.sha256(b" ".join(kept)).hexdigest(), spans
+
+    def singly(windows: DataFrame) -> DataFrame:
+        place = F.struct("e1", "e2", "e3")
+        first = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.sum("n_seen").alias("times")).where("times >= 2")
+        both = windows.join(first, ["h1", "h2"])
+        return both.withColumn("name", F.explode(F.when(place == F.col("first"), F.array(F.lit("located"))).otherwise(F.array(F.lit("located"), F.lit("later")))))
+
+    def spans(name: str) -> Column:
+        here = (F.col("k1") == F.col("e1")) & (F.col("k2") == F.col("e2")) & (F.col("start") == F.col("e3"))
+        return F.when(here, F.col("later")).otherwise(F.col("located")) if name == "later" else F.array().cast("array<int>")
+
+    plan = R.Plan(R.by_words(window, gram), by_automaton(window), singly, HOT, ["located", "later"], "kinds >= 2 or n_seen >= 2", spans, [window, window], summary, lambda seq, _, gone: finish(seq, gone), fields)
+    return R.remove(docs, plan)

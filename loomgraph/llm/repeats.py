@@ -3,14 +3,18 @@
 A sequence (bytes or words) is cut by content: among the ``gram``-long pieces inside a window, the one with the
 smallest rolling hash is the window's trigger.  Equal windows have equal triggers at equal offsets, so it is enough
 to look at windows with the same trigger.  The windows that share one trigger occurrence are consecutive; the stretch
-they cover is a *phrase*.  Phrases overlap so that each window lies whole in exactly one of them.
-
-1. ``parse``: each document's triggers; a trigger that occurs once in the corpus cannot be part of a repeated window.
-2. ``ship``: phrases of the triggers that do occur again.  Equal phrases share an id, which settles them at once.
-3. ``resolve``: only triggers with several different phrases need their windows compared.  These go to shards keyed by
-   trigger, where the caller's resolver (suffix ranks, automata) compares them.  A trigger with more than ``HOT``
-   different phrases would make a shard unbounded: its windows travel singly, by hash, through an ordinary aggregation.
-4. ``apply``: the marked stretches return to the documents that hold them.
+they cover is a *phrase*.  Phrases overlap so that each window lies whole in exactly one of them, and with it the
+``deep`` units from its start, if the document has so many left.
+
+1. ``parse``: each document as its sequence of phrases: trigger, hash of the phrase, place.
+2. ``entries``: the phrases whose trigger occurs at least twice; others hold no repeated window.
+3. ``dictionary``: the different phrases, how often each occurs and where first.  A phrase that occurs twice repeats
+   all its windows.
+4. ``bodies``: the text of a phrase, from its first place, where windows have to be compared.
+5. ``resolve``: phrases go to shards keyed by trigger, where the caller's resolver (suffix order, automata) compares
+   their windows.  A trigger with more than ``hot`` different phrases would make a shard unbounded: its windows travel
+   singly, by a 128-bit hash, through an ordinary aggregation, which marks the same windows.
+6. ``remove``: the marked stretches return to the documents that hold them.
 
 No step holds more than a document, a batch or a shard of bounded size.
 """
@@ -22,16 +26,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
 
-#: More different phrases than this behind one trigger, and its windows are compared singly.
-HOT = 2000
 #: Windows handled at once within one document: bounds memory for very long texts.
 BLOCK = 1 << 19
+#: Bytes of phrases in a shard, by what is measured.
+SHARD = 2_000_000
 _ODD = 0x9E3779B97F4A7C15 | 1
 _powers: dict[str, np.ndarray] = {}
 
@@ -47,13 +50,23 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["n"], _powers["i"]
 
 
+def _sums(units: np.ndarray) -> np.ndarray:
+    """Running sums of the units times the powers, from 0."""
+    sums = np.zeros(len(units) + 1, np.uint64)
+    np.cumsum(units * _power_tables(len(units) + 1)[0][: len(units)], out=sums[1:])
+    return sums
+
+
+def stretches(units: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of units[first:end] for each pair."""
+    sums = _sums(units)
+    return C.mix64((sums[end] - sums[first]) * _power_tables(len(units) + 1)[1][first])
+
+
 def rolling(units: np.ndarray, width: int) -> np.ndarray:
     """A 64-bit hash of each ``width`` consecutive units."""
-    n = len(units)
-    up, down = _power_tables(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(units * up[:n], out=sums[1:])
-    return C.mix64((sums[width:] - sums[:-width]) * down[: n - width + 1])
+    sums = _sums(units)
+    return C.mix64((sums[width:] - sums[:-width]) * _power_tables(len(units) + 1)[1][: len(units) - width + 1])
 
 
 def sliding_min(v: np.ndarray, width: int) -> np.ndarray:
@@ -70,111 +83,150 @@ def sliding_min(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def triggers(units: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First window, last window and trigger hash of each phrase, in order; every window is in exactly one."""
-    total = len(units) - window + 1
-    if total <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    firsts, lasts, keys = [], [], []
-    for at in range(0, total, BLOCK):
-        count = min(BLOCK, total - at)
-        h = rolling(units[at : at + count + window - 1], gram)
-        low = np.uint64((1 << 21) - 1)
-        place = sliding_min((h & ~low) | np.arange(len(h), dtype=np.uint64), window - gram + 1) & low
-        cut = np.flatnonzero(place[1:] != place[:-1]) + 1
-        first = np.concatenate([[0], cut])
-        firsts.append(first + at)
-        lasts.append(np.concatenate([cut - 1, [count - 1]]) + at)
-        keys.append(h[place[first].astype(np.int64)].view(np.int64))
-    return np.concatenate(firsts), np.concatenate(lasts), np.concatenate(keys)
+_TABLE = np.random.default_rng(7).integers(0, 2**64, 256, dtype=np.uint64)
+_BLANK = np.zeros(256, bool)
+_BLANK[list(b" \t\n\x0b\x0c\r")] = True
 
 
-_TABLE = np.random.default_rng(7).integers(0, 2**64, 256, dtype=np.uint64)
+def byte_units(text: bytes) -> np.ndarray:
+    return _TABLE[np.frombuffer(text, np.uint8)]
+
+
+def word_units(text: bytes) -> np.ndarray:
+    """A 64-bit hash of each word."""
+    data = np.frombuffer(text, np.uint8)
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], _BLANK[data], [True]])))
+    return stretches(_TABLE[data], edge[::2], edge[1::2])
 
 
 @dataclass(frozen=True)
 class Alphabet:
-    """What a sequence consists of."""
+    """What a sequence consists of.  ``deep`` is at least ``window``."""
 
     window: int
     gram: int
+    deep: int
+    units: Callable[[bytes], np.ndarray]  # text -> a number per unit
     cut: Callable[[bytes], object]  # text -> the sequence to slice
-    hashed: Callable[[object], np.ndarray]  # sequence -> a number per unit
     join: Callable[[object], bytes]  # a slice -> its bytes
 
 
-BYTES = Alphabet(400, 128, lambda text: text, lambda seq: _TABLE[np.frombuffer(seq, np.uint8)], lambda part: part)
+def by_bytes(window: int, gram: int, deep: int) -> Alphabet:
+    return Alphabet(window, gram, deep, byte_units, lambda text: text, lambda part: part)
 
 
-def _word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+def by_words(window: int, gram: int) -> Alphabet:
+    return Alphabet(window, gram, window, word_units, bytes.split, b" ".join)
 
 
-WORDS = Alphabet(20, 6, bytes.split, _word_hashes, b" ".join)
+def phrases_of(units: np.ndarray, al: Alphabet) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First window, number of windows, trigger and hash of each phrase, in order; every window is in exactly one."""
+    total = len(units) - al.window + 1
+    low = np.uint64((1 << 21) - 1)
+    firsts, counts, keys, prints = ([np.zeros(0, t)] for t in (np.int64, np.int32, np.int64, np.int64))
+    for at in range(0, max(total, 0), BLOCK):
+        count = min(BLOCK, total - at)
+        part = units[at : at + count + al.deep - 1]
+        h = rolling(part, al.gram)
+        seen = h[: count + al.window - al.gram]
+        place = sliding_min((seen & ~low) | np.arange(len(seen), dtype=np.uint64), al.window - al.gram + 1) & low
+        first = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1])
+        after = np.concatenate([first[1:], [count]])
+        firsts.append(first + at)
+        counts.append((after - first).astype(np.int32))
+        keys.append(h[place[first].astype(np.int64)].view(np.int64))
+        # from hashes of grams, which leaves no structure of the text in the sum
+        ends = np.minimum(after - 1 + al.deep, len(part)) - al.gram + 1
+        prints.append(stretches(h, first, ends).view(np.int64))
+    return tuple(np.concatenate(x) for x in (firsts, counts, keys, prints))
 
 
 def columns(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
     return zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names), strict=True)
 
 
-def parse(docs: DataFrame, al: Alphabet, summary: Callable[[object], tuple], fields: list[tuple[str, pa.DataType, str]]) -> DataFrame:
-    """k1, k2, doc_id, the trigger of each phrase, and the summary that holds if nothing is removed."""
-    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int32()), ("doc_id", pa.int64()), ("triggers", pa.list_(pa.int64())), *((n, t) for n, t, _ in fields)])
+def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    offsets = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(arrays), kind))
+
+
+Fields = list[tuple[str, pa.DataType, str]]
+
+
+def _rows(rows: list[tuple], fields: Fields) -> list[pa.Array]:
+    return [pa.array(c, t) for c, (_, t, _) in zip(zip(*rows, strict=True), fields, strict=True)]
+
+
+def parse(docs: DataFrame, al: Alphabet, summary: Callable[[bytes], tuple], fields: Fields) -> DataFrame:
+    """k1, k2, doc_id, the document's phrases (starts, counts, keys, prints) and the summary that holds if nothing goes."""
+    kinds = (("starts", pa.int64()), ("counts", pa.int32()), ("keys", pa.int64()), ("prints", pa.int64()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for k1, k2, doc_id, text in columns(batch, "k1", "k2", "doc_id", "text"):
-                seq = al.cut(text)
-                keys = triggers(al.hashed(seq), al.window, al.gram)[2] if len(seq) >= al.window else np.zeros(0, np.int64)
-                out.append((k1, k2, doc_id, keys, *summary(seq)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+            if not batch.num_rows:
+                continue
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            found = list(zip(*(phrases_of(al.units(t), al) for t in texts), strict=True))
+            held = [batch.column(batch.schema.get_field_index(n)) for n in ("k1", "k2", "doc_id")]
+            lists = [_lists(list(found[i]), t) for i, (_, t) in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*held, *lists, *_rows([summary(t) for t in texts], fields)], names=["k1", "k2", "doc_id", *(n for n, _ in kinds), *(n for n, _, _ in fields)])
+        C.release()
 
-    sql = ", ".join(["k1 long", "k2 int", "doc_id long", "triggers array<long>", *(f"{n} {s}" for n, _, s in fields)])
-    return docs.mapInArrow(run, sql)
+    sql = ["k1 long", "k2 int", "doc_id long", "starts array<long>", "counts array<int>", "keys array<long>", "prints array<long>"]
+    return docs.mapInArrow(run, ", ".join([*sql, *(f"{n} {s}" for n, _, s in fields)]))
 
 
-def repeated(parsed: DataFrame) -> DataFrame:
-    """k1, k2 and the document's triggers that occur at least twice in the corpus.
+def entries(parsed: DataFrame) -> DataFrame:
+    """k1, k2, start, n, key, p: each phrase whose trigger occurs at least twice in the corpus.
 
     The repeated triggers are written first: as a table of its own, that side lets AQE split a trigger that is everywhere.
     """
-    keys = parsed.select("k1", "k2", F.explode("triggers").alias("key"))
+    keys = parsed.select(F.explode("keys").alias("key"))
     again = C.materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("key"), "again")
-    C.free_shuffles(C.session_of(parsed))
-    return keys.join(again, "key").groupBy("k1", "k2").agg(F.collect_set("key").alias("again"))
+    each = parsed.select("k1", "k2", F.inline(F.arrays_zip("starts", "counts", "keys", "prints"))).toDF("k1", "k2", "start", "n", "key", "p")
+    held = C.materialize(each.join(again, "key").select("k1", "k2", "start", "n", "key", "p"), "entries")
+    C.discard(again)
+    return held
+
+
+def dictionary(held: DataFrame) -> DataFrame:
+    """key, p, n, n_seen, kinds (different phrases of the trigger) and the first place (e1, e2, e3) of each different phrase."""
+    first = F.min(F.struct(F.col("k1").alias("e1"), F.col("k2").alias("e2"), F.col("start").alias("e3"))).alias("e")
+    phrases = C.materialize(held.groupBy("key", "p").agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("n_seen"), first).select("key", "p", "n", "n_seen", "e.*"), "phrases")
+    kinds = phrases.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"))
+    known = C.materialize(phrases.join(kinds, "key"), "dictionary")
+    C.discard(phrases)
+    return known
 
 
-def ship(held: DataFrame, al: Alphabet) -> DataFrame:
-    """A row for each phrase with a repeated trigger; its bytes only where the task meets the phrase for the first time."""
-    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int32()), ("start", pa.int64()), ("n", pa.int32()), ("key", pa.int64()), ("p", pa.int64()), ("phrase", pa.binary())])
+def bodies(docs: DataFrame, wanted: DataFrame, al: Alphabet) -> DataFrame:
+    """wanted, a part of the dictionary, with each phrase's text."""
+    names = ["key", "p", "n", "n_seen", "kinds", "e3"]
+    per = wanted.select(F.col("e1").alias("k1"), F.col("e2").alias("k2"), F.struct(*names).alias("x")).groupBy("k1", "k2").agg(F.collect_list("x").alias("xs"))
+    # rows that repeat a document give its texts again, which changes nothing
+    texts = docs.select("k1", "k2", "text").join(per, ["k1", "k2"])
+    schema = pa.schema([("key", pa.int64()), ("p", pa.int64()), ("n", pa.int32()), ("n_seen", pa.int64()), ("kinds", pa.int64()), ("e1", pa.int64()), ("e2", pa.int32()), ("e3", pa.int64()), ("phrase", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
+        def made(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+
         for batch in batches:
             out, size = [], 0
-            for k1, k2, text, again in columns(batch, "k1", "k2", "text", "again"):
+            for k1, k2, text, xs in columns(batch, "k1", "k2", "text", "xs"):
                 seq = al.cut(text)
-                first, last, keys = triggers(al.hashed(seq), al.window, al.gram)
-                for i in np.flatnonzero(np.isin(keys, np.array(again, np.int64))):
-                    a, b = int(first[i]), int(last[i])
-                    part = al.join(seq[a : b + al.window])
-                    name = int(keys[i]), xxhash.xxh3_64_intdigest(part) - (1 << 63)
-                    new = name not in seen
-                    if new:
-                        if len(seen) > 200_000:  # only saves bytes: a phrase may be sent more than once
-                            seen.clear()
-                        seen.add(name)
-                        size += len(part)
-                    out.append((k1, k2, a, b - a + 1, *name, part if new else None))
-                    if size > 4_000_000 or len(out) > 20_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+                for x in xs:
+                    part = al.join(seq[x["e3"] : x["e3"] + x["n"] - 1 + al.deep])
+                    out.append((x["key"], x["p"], x["n"], x["n_seen"], x["kinds"], k1, k2, x["e3"], part))
+                    size += len(part)
+                    if size > 4_000_000:
+                        yield made(out)
                         out, size = [], 0
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+                yield made(out)
+        C.release()
 
-    return held.mapInArrow(run, "k1 long, k2 int, start long, n int, key long, p long, phrase binary")
+    return texts.mapInArrow(run, "key long, p long, n int, n_seen long, kinds long, e1 long, e2 int, e3 long, phrase binary")
 
 
 def runs_of(flags: np.ndarray) -> list[int]:
@@ -184,120 +236,134 @@ def runs_of(flags: np.ndarray) -> list[int]:
     return edge.tolist()
 
 
-Group = list[tuple[bytes, tuple[int, int, int]]]  # phrase, its earliest place (k1, k2, start)
-Resolver = Callable[[list[Group]], list[list[np.ndarray]]]
+#: A phrase, how many windows are its own, how often it occurs, its first place (k1, k2, start).
+Member = tuple[bytes, int, int, tuple[int, int, int]]
+#: From triggers with their phrases: for each phrase the runs (as of runs_of) of its own windows under each name of marks.
+Resolver = Callable[[list[tuple[int, list[Member]]]], list[list[list[list[int]]]]]
 
 
-def resolve(shipped: DataFrame, al: Alphabet, resolver: Resolver, keep_first: bool, shards: int) -> DataFrame:
-    """key, p, n_seen, the earliest place (e1, e2, e3) and ``marks``: windows of the phrase that occur in other phrases too.
+def resolve(texts: DataFrame, al: Alphabet, resolver: Resolver, names: list[str], singly: Callable[[DataFrame], DataFrame], most: int) -> DataFrame:
+    """key, p and, under each name, the windows of the phrase that the resolver marks.
 
-    With keep_first a window is marked only if its place in the phrase's earliest occurrence isn't the earliest of all.
+    singly takes the windows of hot triggers (name, h1, h2, key, p, e1, e2, e3, off, n_seen) and returns those to mark.
     """
-    place = F.struct(F.col("k1").alias("e1"), F.col("k2").alias("e2"), F.col("start").alias("e3")) if keep_first else F.lit(None).cast("struct<e1:bigint,e2:int,e3:bigint>")
-    phrases = shipped.groupBy("key", "p").agg(F.count(F.lit(1)).alias("n_seen"), *([F.min(place).alias("e")] if keep_first else []))
-    phrases = phrases if keep_first else phrases.withColumn("e", place)
-    phrases = C.materialize(phrases.select("key", "p", "n_seen", "e.*"), "phrases")
-    kinds = phrases.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds >= 2")
-    several = phrases.join(kinds, "key").drop("n_seen")
-    bodies = shipped.where("phrase is not null").select("key", "p", "phrase").join(several, ["key", "p"])
-    bodies = C.materialize(bodies, "bodies")
-    C.free_shuffles(C.session_of(shipped))
-
-    # a shard: whole triggers, of at most HOT phrases each
-    cold = bodies.where(F.col("kinds") <= HOT).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
-    out = pa.schema([("key", pa.int64()), ("p", pa.int64()), ("marks", pa.list_(pa.int32()))])
+    out = pa.schema([("key", pa.int64()), ("p", pa.int64()), *((n, pa.list_(pa.int32())) for n in names)])
+    sql = ", ".join(["key long", "p long", *(f"{n} array<int>" for n in names)])
+    cold = texts.where(F.col("kinds") <= most)
+    # a shard: whole triggers, of at most ``most`` phrases each
+    shards = C.shards_for(cold.agg(F.sum(F.length("phrase") + 64)).first()[0], SHARD, 8)
+    cold = cold.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
 
     def shard(table: pa.Table) -> pa.Table:
-        groups: dict[int, dict[int, tuple[bytes, tuple[int, int, int]]]] = {}
-        for key, p, phrase, e1, e2, e3 in columns(table.combine_chunks().to_batches()[0], "key", "p", "phrase", "e1", "e2", "e3"):
-            groups.setdefault(key, {})[p] = (phrase, (e1, e2, e3))
+        groups: dict[int, dict[int, Member]] = {}
+        for batch in table.to_batches():
+            for key, p, n, n_seen, phrase, *place in columns(batch, "key", "p", "n", "n_seen", "phrase", "e1", "e2", "e3"):
+                groups.setdefault(key, {})[p] = (phrase, n, n_seen, tuple(place))
         order = [(key, sorted(g.items())) for key, g in sorted(groups.items())]
-        found = resolver([[v for _, v in g] for _, g in order])
-        rows = [(key, p, runs_of(flags)) for (key, g), marks in zip(order, found, strict=True) for (p, _), flags in zip(g, marks, strict=True) if flags.any()]
-        return pa.Table.from_arrays([pa.array([r[i] for r in rows], out.types[i]) for i in range(3)], schema=out)
+        found = resolver([(key, [v for _, v in g]) for key, g in order])
+        rows = [(key, p, *runs) for (key, g), each in zip(order, found, strict=True) for (p, _), runs in zip(g, each, strict=True) if any(runs)]
+        del groups, order, found
+        C.release()
+        return pa.Table.from_arrays([pa.array([r[i] for r in rows], out.types[i]) for i in range(len(out))], schema=out)
 
-    marked = cold.select("shard", "key", "p", "phrase", "e1", "e2", "e3").groupBy("shard").applyInArrow(shard, "key long, p long, marks array<int>")
+    marked = cold.select("shard", "key", "p", "n", "n_seen", "phrase", "e1", "e2", "e3").groupBy("shard").applyInArrow(shard, sql)
 
     # the rest, window by window
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, p, phrase, e1, e2, e3 in columns(batch, "key", "p", "phrase", "e1", "e2", "e3"):
-                units = al.hashed(al.cut(phrase))
-                h1, h2 = rolling(units, al.window), rolling(C.mix64(units + np.uint64(0x1234567)), al.window)
-                m = len(h1)
-                off = np.arange(m, dtype=np.int32)
-                same = [pa.array(np.full(m, v, np.int64)) for v in (key, p, e1 or 0)] + [pa.array(np.full(m, e2 or 0, np.int32)), pa.array((e3 or 0) + off.astype(np.int64))]
-                yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), *same, pa.array(off)], names=["h1", "h2", "key", "p", "e1", "e2", "e3", "off"])
-
-    hot = bodies.where(F.col("kinds") > HOT).mapInArrow(windows, "h1 long, h2 long, key long, p long, e1 long, e2 int, e3 long, off int")
-    if keep_first:
-        first = hot.groupBy("h1", "h2").agg(F.min(F.struct("e1", "e2", "e3")).alias("first"), F.max(F.struct("e1", "e2", "e3")).alias("last")).where("first <> last").select("h1", "h2", "first")
-        again = hot.join(first, ["h1", "h2"]).where(F.struct("e1", "e2", "e3") != F.col("first"))
-    else:
-        twice = hot.groupBy("h1", "h2").agg(F.min("p").alias("first"), F.max("p").alias("last")).where("first <> last").select("h1", "h2")
-        again = hot.join(twice, ["h1", "h2"])
+            for key, p, n, n_seen, phrase, e1, e2, e3 in columns(batch, "key", "p", "n", "n_seen", "phrase", "e1", "e2", "e3"):
+                units = al.units(phrase)
+                for width in sorted({al.window, al.deep}):
+                    if len(units) < width:
+                        continue
+                    h1, h2 = (rolling(u, width)[:n] for u in (units, C.mix64(units + np.uint64(0x1234567))))
+                    off = np.arange(len(h1), dtype=np.int32)
+                    same = [pa.array(np.full(len(off), v, np.int64)) for v in (width, key, p, e1, e2, n_seen)]
+                    yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), *same, pa.array(e3 + off.astype(np.int64)), pa.array(off)], names=["h1", "h2", "width", "key", "p", "e1", "e2", "n_seen", "e3", "off"])
+
+    hot = texts.where(F.col("kinds") > most).mapInArrow(windows, "h1 long, h2 long, width long, key long, p long, e1 long, e2 long, n_seen long, e3 long, off int")
 
     def merged(table: pa.Table) -> pa.Table:
-        off = np.unique(table.column("off").to_numpy())
-        flags = np.zeros(int(off.max()) + 1, bool)
-        flags[off] = True
-        return pa.Table.from_arrays([table.column("key")[:1], table.column("p")[:1], pa.array([runs_of(flags)], out.types[2])], schema=out)
-
-    singly = again.select("key", "p", "off").distinct().groupBy("key", "p").applyInArrow(merged, "key long, p long, marks array<int>")
-    known = phrases.join(marked.unionByName(singly), ["key", "p"], "left").where("n_seen >= 2 or marks is not null")
-    known = C.materialize(known, "known")
-    C.discard(phrases)
-    C.discard(bodies)
-    return known
+        which, off = table.column("name").to_numpy(zero_copy_only=False), table.column("off").to_numpy()
+        found = []
+        for name in names:
+            flags = np.zeros(int(off.max()) + 1, bool)
+            flags[off[which == name]] = True
+            found.append(pa.array([runs_of(flags)], out.types[2]))
+        return pa.Table.from_arrays([table.column("key")[:1], table.column("p")[:1], *found], schema=out)
 
+    rest = singly(hot).select("key", "p", "name", "off").distinct().groupBy("key", "p").applyInArrow(merged, sql)
+    return C.materialize(marked.unionByName(rest), "marks")
 
-def covered(n: int, window: int, stretches: list[tuple[int, int]]) -> np.ndarray:
-    """Whether each of n units lies in a window that starts in one of the stretches (ends included)."""
+
+def covered(n: int, width: int, spans: np.ndarray) -> np.ndarray:
+    """Whether each of n units lies in a string of that width that starts in one of the spans (from, to, from, to, ...)."""
     edge = np.zeros(n + 1, np.int32)
-    if stretches:
-        s = np.array(stretches, np.int64)
-        np.add.at(edge, s[:, 0], 1)
-        np.add.at(edge, np.minimum(s[:, 1] + window, n), -1)
+    first, last = spans[::2], np.minimum(spans[1::2], n - width)
+    fits = first <= last
+    np.add.at(edge, first[fits], 1)
+    np.add.at(edge, last[fits] + width, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
-def remove(docs: DataFrame, al: Alphabet, resolver: Resolver, keep_first: bool, summary: Callable, fields: list, finish: Callable) -> DataFrame:
-    """The whole chain.  finish(seq, removed flags) gives the summary of a document of which something is removed."""
-    spark = C.session_of(docs)
-    C.small_batches(spark)
-    docs = C.id_and_text(docs)
-    shards = C.parts_for(docs, 2, 64)
-    keyed = docs.select("doc_id", "text", *C.row_keys())
-    parsed = C.materialize(parse(keyed, al, summary, fields), "parsed")
-    held = C.materialize(keyed.join(repeated(parsed), ["k1", "k2"]).select("k1", "k2", "text", "again"), "held")
-    plain = C.materialize(parsed.drop("triggers"), "plain")
+def _slices(column: pa.ListArray) -> list[np.ndarray]:
+    offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
+    return [values[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+
+
+@dataclass(frozen=True)
+class Plan:
+    """What an operator adds to the chain."""
+
+    al: Alphabet
+    resolver: Resolver
+    singly: Callable[[DataFrame], DataFrame]
+    hot: int  # more different phrases than this behind one trigger, and its windows are compared singly
+    names: list[str]  # of the marks
+    wanted: str  # the phrases that go to the resolver
+    spans: Callable[[str], Column]  # from a phrase, its marks and an occurrence: the spans to mark there, under a name
+    widths: list[int]  # of what a mark covers, by name
+    summary: Callable[[bytes], tuple]  # of a document in which nothing is marked
+    finish: Callable  # (sequence, flags of units under each name) -> the summary otherwise
+    fields: Fields
+
+
+def remove(docs: DataFrame, plan: Plan) -> DataFrame:
+    """doc_id and the summary's fields."""
+    al, names, fields = plan.al, plan.names, plan.fields
+    C.small_batches(C.session_of(docs))
+    docs = C.id_and_text(docs).select("doc_id", "text", *C.row_keys())
+    parsed = C.materialize(parse(docs, al, plan.summary, fields), "parsed")
+    held = entries(parsed)
+    plain = C.materialize(parsed.drop("starts", "counts", "keys", "prints"), "plain")
     C.discard(parsed)
-    C.free_shuffles(spark)
-    shipped = C.materialize(ship(held, al), "shipped")
-    known = resolve(shipped, al, resolver, keep_first, shards)
-    C.free_shuffles(spark)
+    known = dictionary(held)
+    texts = C.materialize(bodies(docs, known.where(plan.wanted), al), "bodies")
+    marks = resolve(texts, al, plan.resolver, names, plan.singly, plan.hot)
+    C.discard(texts)
+    # a table of its own lets AQE split a phrase that is everywhere
+    told = C.materialize(known.where("n_seen >= 2 or kinds >= 2").join(marks, ["key", "p"], "left"), "told")
+    C.discard(known, marks)
     # rows that repeat a document give its places twice, which marks them no differently
-    places = shipped.select("k1", "k2", "start", "n", "key", "p").join(known, ["key", "p"])
-    if keep_first:
-        whole = ~((F.col("k1") == F.col("e1")) & (F.col("k2") == F.col("e2")) & (F.col("start") == F.col("e3")))
-    else:
-        whole = F.col("n_seen") >= 2
-    stretches = F.when(whole, F.array(F.lit(0), F.col("n") - 1)).otherwise(F.col("marks"))
-    places = places.select("k1", "k2", F.struct("start", stretches.alias("marks")).alias("m")).where("m.marks is not null")
-    marks = places.groupBy("k1", "k2").agg(F.collect_list("m").alias("m"))
-    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int32()), *((f"new_{n}", t) for n, t, _ in fields)])
+    none = F.array().cast("array<int>")
+    places = held.select("k1", "k2", "start", "key", "p").join(told, ["key", "p"])
+    places = places.select("k1", "k2", *[F.transform(F.coalesce(plan.spans(n), none), lambda x: x + F.col("start")).alias(n) for n in names]).where(" or ".join(f"size({n}) > 0" for n in names))
+    marked = C.materialize(places.groupBy("k1", "k2").agg(*[F.flatten(F.collect_list(n)).alias(n) for n in names]), "marked")
+    C.discard(held, told)
+    schema = [("k1", pa.int64()), ("k2", pa.int32()), *((f"new_{n}", t) for n, t, _ in fields)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for k1, k2, text, m in columns(batch, "k1", "k2", "text", "m"):
+            spans = zip(*(_slices(batch.column(batch.schema.get_field_index(n))) for n in names), strict=True)
+            for (k1, k2, text), each in zip(columns(batch, "k1", "k2", "text"), spans, strict=True):
                 seq = al.cut(text)
-                spans = [(x["start"] + a, x["start"] + b) for x in m for a, b in zip(x["marks"][::2], x["marks"][1::2], strict=True)]
-                out.append((k1, k2, *finish(seq, covered(len(seq), al.window, spans))))
+                out.append((k1, k2, *plan.finish(seq, *(covered(len(seq), w, s) for w, s in zip(plan.widths, each, strict=True)))))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+                yield pa.RecordBatch.from_arrays(_rows(out, [("k1", pa.int64(), ""), ("k2", pa.int32(), ""), *fields]), schema=pa.schema(schema))
+        C.release()
 
     sql = ", ".join(["k1 long", "k2 int", *(f"new_{n} {s}" for n, _, s in fields)])
-    changed = held.select("k1", "k2", "text").dropDuplicates(["k1", "k2"]).join(marks, ["k1", "k2"]).mapInArrow(run, sql)
+    changed = docs.select("k1", "k2", "text").join(marked, ["k1", "k2"]).mapInArrow(run, sql).dropDuplicates(["k1", "k2"])
     kept = plain.join(changed, ["k1", "k2"], "left")
     return kept.select("doc_id", *(F.coalesce(f"new_{n}", n).alias(n) for n, _, _ in fields))
