@@ -4,7 +4,9 @@ import hashlib
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph.llm import phrase_dedup, repeats, suffix_dedup
 
@@ -28,6 +30,11 @@ def brute_bytes(rows, window):
     return sorted(out, key=str)
 
 
+def brute_shared(rows, width):
+    """How many bytes of each document strings of ``width`` bytes cover that start anywhere else too."""
+    return sorted((d, n, removed) for d, n, removed, _, _ in brute_bytes(rows, width))
+
+
 def brute_words(rows, window):
     rows = sorted(rows, key=lambda r: (r[0] is not None, r[0]))
     seen, out = set(), []
@@ -61,22 +68,102 @@ def frame(spark, rows):
     return spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, key string, n_words int")
 
 
-@pytest.mark.parametrize("hot", [repeats.HOT, 3])
+@pytest.mark.parametrize("hot", [50_000, 3])
 def test_bytes_match_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(phrase_dedup, "HOT", hot)
     rows = corpus(1)
     got = suffix_dedup.dedup(frame(spark, rows)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
     assert sorted((tuple(r) for r in got), key=str) == brute_bytes(rows, 400)
 
 
-@pytest.mark.parametrize("hot", [repeats.HOT, 3])
+@pytest.mark.parametrize("hot", [50_000, 3])
 def test_words_match_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(phrase_dedup, "HOT", hot)
     rows = corpus(2)
     got = phrase_dedup.dedup(frame(spark, rows)).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
     assert sorted((tuple(r) for r in got), key=str) == brute_words(rows, 20)
 
 
+@pytest.mark.parametrize("hot", [50_000, 3])
+def test_shared_bytes_match_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(phrase_dedup, "HOT", hot)
+    rows = [(i, t) for i, (_, t) in enumerate(corpus(4))]
+    got = suffix_dedup.dedup(frame(spark, rows)).select("doc_id", "n_bytes", "n_shared").collect()
+    assert sorted(tuple(r) for r in got) == brute_shared(rows, 200)
+    assert any(r.n_shared for r in got)
+
+
+def test_nothing_is_removed_without_suffix_ranks(spark, monkeypatch):
+    """Passages inside different phrases are found by the ranks alone."""
+    rng = random.Random(9)
+    text = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+    passage = text(80)
+    rows = [(i, f"{text(30)} {passage[:419]} {text(30)}") for i in range(2)]
+    docs = frame(spark, rows)
+    assert sorted((tuple(r) for r in suffix_dedup.dedup(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()), key=str) == brute_bytes(rows, 400)
+    assert all(r.n_removed >= 400 for r in suffix_dedup.dedup(docs).collect())
+    monkeypatch.setattr(suffix_dedup, "by_suffixes", lambda window, shared, gram: lambda groups: [[[[], []] for _ in g] for _, g in groups])
+    assert all(r.n_removed == 0 for r in suffix_dedup.dedup(docs).collect())
+
+
+def test_sides_are_in_the_order_of_the_suffixes():
+    rng = random.Random(3)
+    parts = list({bytes(rng.choices(b"ab\0", k=rng.randint(0, 30))) for _ in range(200)})
+    for back in (False, True):
+        side = suffix_dedup.Side(parts, back)
+        turned = [p[::-1] if back else p for p in parts]
+        assert [turned[i] for i in side.order] == sorted(turned)
+        same = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        assert all(side.common(i, j) == same(turned[i], turned[j]) for i in range(0, len(parts), 7) for j in range(0, len(parts), 5))
+        for depth in (1, 5, 12):
+            kinds = side.classes(side.neighbours(), depth).tolist()
+            for i in range(0, len(parts), 3):
+                for j in range(len(parts)):
+                    assert i == j or (kinds[i] == kinds[j]) == (len(turned[i]) >= depth and turned[i][:depth] == turned[j][:depth])
+
+
+def test_classes_and_pairs_mark_the_same_windows(spark, monkeypatch):
+    rows = corpus(6)
+    want = sorted(map(str, suffix_dedup.dedup(frame(spark, rows)).collect()))
+    monkeypatch.setattr(suffix_dedup, "FEW", 1)
+    assert sorted(map(str, suffix_dedup.dedup(frame(spark, rows)).collect())) == want
+
+
+def test_triggers_whose_hashes_collide_are_kept_apart():
+    a, b = b"x" * 8 + b"triggerA" + b"y" * 40, b"z" * 8 + b"triggerB" + b"y" * 40
+    key = int(repeats.rolling(repeats.byte_units(b"triggerA"), 8).view(np.int64)[0])
+    members = [(a, 9, 1, (1, 1, 0)), (a[:-1], 9, 1, (2, 1, 0))]
+    assert suffix_dedup.aligned(members, key, 8) == [([0, 1], [8, 8])]
+    assert b.find(b"triggerA") < 0
+
+
+def test_nothing_is_removed_without_automata(spark, monkeypatch):
+    """Not even whole copies: what the automata don't locate stays."""
+    text = " ".join(f"w{i}" for i in range(100))
+    docs = frame(spark, [(1, text), (2, text), (3, "x " + text)])
+    assert sorted(r.n_removed for r in phrase_dedup.dedup(docs).collect()) == [0, 100, 100]
+    monkeypatch.setattr(phrase_dedup, "by_automaton", lambda window: lambda groups: [[[[], []] for _ in g] for _, g in groups])
+    assert all(r.n_removed == 0 for r in phrase_dedup.dedup(docs).collect())
+
+
+@pytest.mark.parametrize("dedup", [suffix_dedup.dedup, phrase_dedup.dedup])
+def test_extra_columns_with_clashing_names(spark, dedup):
+    text = " ".join(f"word{i}" for i in range(100))
+    plain = frame(spark, [(1, text), (2, text), (3, None)])
+    more = plain.select("*", *[F.lit("x").alias(n) for n in ("k1", "k2", "p", "start", "n", "e1", "phrase", "removed", "m", "marks", "n_bytes")])
+    assert sorted(map(str, dedup(more).collect())) == sorted(map(str, dedup(plain).collect()))
+
+
+def test_long_documents_of_words_are_cut_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "BLOCK", 30)
+    rows = corpus(5, 20)
+    got = phrase_dedup.dedup(frame(spark, rows)).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute_words(rows, 20)
+
+
 def test_long_documents_are_cut_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(repeats, "BLOCK", 100)
     rows = corpus(3, 20)
