@@ -1,18 +1,21 @@
 """Token-id output: best-fit-decreasing packing of whole documents into rows of fixed length.
 
 Every text becomes token ids with an end mark; a document longer than a row is split without loss.  Pieces are dealt to
-shards by a hash of document and piece, each shard of bounded size; within a shard, pieces go by falling length into the
-row with the least room that still holds them.  A segment tree over room sizes answers that search.  A row of the result is a
+shards by a hash of document and piece; the number of shards follows from the number of tokens, so that each is of
+bounded size and the rows depend on nothing but the documents.  Within a shard, pieces go by falling length into the row
+with the least room that still holds them.  A segment tree over room sizes answers that search.  A row of the result is a
 row of the id matrix (little-endian, padded), the cumulative lengths of its segments, and positions that start again
 at 0 with each segment.
 
-Defined results: null text counts as empty and gives just the end mark; repeated rows are packed as often as they
-occur; an empty table gives no rows.
+Defined results: null text counts as empty and gives just the end mark; a text of any length has the ids of the whole
+text (long ones are encoded in parts, cut only where the pre-tokenizer cuts in any context); documents of equal length
+lie in the order of a hash; repeated rows are packed as often as they occur; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +28,12 @@ from .repeats import columns
 
 ROW = 2048
 END = 50256
-SHARD_MB = 6
+#: Tokens in a shard.
+SHARD = 3_000_000
+#: Characters encoded at once, or more where no safe cut follows.
+PART = 1 << 20
+#: Before a blank between one of these and a letter a new piece begins, whatever stands around them.
+SAFE = re.compile(r"(?<=[A-Za-z0-9,.;:!?])(?= [A-Za-z])")
 
 _encoders: dict[str, object] = {}
 
@@ -101,8 +109,20 @@ def best_fit(lengths: list[int], row: int) -> list[list[int]]:
     return rows
 
 
-def tokens(docs: DataFrame, row: int, shards: int, path: str, batch: int) -> DataFrame:
-    """doc_id, piece, shard, n, ids (little-endian uint16)."""
+def parts(text: str, size: int = PART) -> Iterator[str]:
+    """The text in parts of about ``size`` characters whose ids, one after the other, are those of the whole text."""
+    at = 0
+    while len(text) - at > size:
+        cut = SAFE.search(text, at + size)
+        if not cut:
+            break
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:] if at else text
+
+
+def tokens(docs: DataFrame, row: int, path: str, end: int) -> DataFrame:
+    """doc_id, piece, h, n, ids (little-endian uint16)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumn("h", F.xxhash64("doc_id", "text"))
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("h", pa.int64()), ("n", pa.int32()), ("ids", pa.binary())])
@@ -112,30 +132,31 @@ def tokens(docs: DataFrame, row: int, shards: int, path: str, batch: int) -> Dat
         for b in batches:
             out = []
             for doc_id, text, h in columns(b, "doc_id", "text", "h"):
-                ids = np.empty(0, np.uint16)
-                parts = [np.array(enc.encode_ordinary(text[i : i + batch]), np.uint16) for i in _cuts(text, batch)] if len(text) > batch else [np.array(enc.encode_ordinary(text), np.uint16)]
-                ids = np.concatenate([*parts, np.array([END], np.uint16)])
+                ids = np.concatenate([*(np.array(enc.encode_ordinary(p), "<u2") for p in parts(text)), np.array([end], "<u2")])
                 for k, at in enumerate(range(0, len(ids), row)):
                     piece = ids[at : at + row]
-                    out.append((doc_id, k, h + k & 0x7FFFFFFFFFFFFFFF, len(piece), piece.astype("<u2").tobytes()))
+                    out.append((doc_id, k, h + k & 0x7FFFFFFFFFFFFFFF, len(piece), piece.tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+        C.release()
 
-    made = docs.mapInArrow(run, "doc_id long, piece int, h long, n int, ids binary")
-    return made.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
-
+    return docs.mapInArrow(run, "doc_id long, piece int, h long, n int, ids binary")
 
-def _cuts(text: str, batch: int) -> Iterator[int]:
-    yield from range(0, len(text), batch)
 
+def pack(docs: DataFrame, row: int = ROW, path: str | None = None, shards: int | None = None, end: int = END, pad: int | None = None) -> DataFrame:
+    """shard, row, n_tokens, input_ids, position_ids (uint16 matrices' rows), cu_seqlens, doc_ids, pieces.
 
-def pack(docs: DataFrame, row: int = ROW, path: str | None = None, shards: int | None = None) -> DataFrame:
-    """shard, row, n_tokens, input_ids, position_ids (uint16 matrices' rows), cu_seqlens, doc_ids, pieces."""
+    end marks the end of a document, pad (the end mark if not given) fills rows; path names the tokenizer's file.
+    """
     if not 2 <= row <= 65535:
         raise ValueError("positions are written as uint16")
+    if not (0 <= end <= 65535 and 0 <= (end if pad is None else pad) <= 65535):
+        raise ValueError("ids are written as uint16")
+    pad = end if pad is None else pad
     C.small_batches(C.session_of(docs))
-    shards = shards or C.parts_for(docs.select("doc_id", "text"), SHARD_MB)
-    made = tokens(docs, row, shards, path or tokenizer_path(), 1 << 20)
+    made = C.materialize(tokens(docs, row, path or tokenizer_path(), end), "tokens")
+    shards = shards or C.shards_for(made.agg(F.sum("n")).first()[0], SHARD, 8)
+    made = made.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
     schema = pa.schema([("shard", pa.int64()), ("row", pa.int32()), ("n_tokens", pa.int32()), ("input_ids", pa.binary()), ("position_ids", pa.binary()), ("cu_seqlens", pa.list_(pa.int32())), ("doc_ids", pa.list_(pa.int64())), ("pieces", pa.list_(pa.int32()))])
 
     def shard(table: pa.Table) -> pa.Table:
@@ -151,9 +172,10 @@ def pack(docs: DataFrame, row: int = ROW, path: str | None = None, shards: int |
             ids_row = b"".join([ids[i] for i in at])
             used = int(lengths.sum())
             places = np.concatenate([np.arange(x, dtype="<u2") for x in lengths] + [np.zeros(row - used, "<u2")])
-            pad = np.full(row - used, END, "<u2").tobytes()
-            out.append((k, used, ids_row + pad, places.tobytes(), [0, *np.cumsum(lengths).tolist()], [doc_ids[i] for i in at], [piece[i] for i in at]))
+            rest = np.full(row - used, pad, "<u2").tobytes()
+            out.append((k, used, ids_row + rest, places.tobytes(), [0, *np.cumsum(lengths).tolist()], [doc_ids[i] for i in at], [piece[i] for i in at]))
         name = table.column("shard")[0].as_py()
+        C.release()
         cols = list(zip(*out, strict=True))
         return pa.Table.from_arrays([pa.array([name] * len(out), pa.int64()), *(pa.array(c, t) for c, t in zip(cols, schema.types[1:], strict=True))], schema=schema)
 
