@@ -1,14 +1,19 @@
 """Benchmark decontamination with DataFrame operations only.
 
-A document is held against each benchmark item in windows as long as the item:
+A document is held against the benchmark in windows as long as its items:
 
-1. windows: a window is laid wherever a five-word shingle of the document is one of the item's, aligned on it.  A window
-   without a shared shingle has similarity 0, so no window that could pass is left out.
+1. windows: where a five-word shingle of the document is one of the benchmark's, windows of the lengths and alignments
+   at which items have it are laid, whichever items these are.  A window that shares no shingle with an item at its
+   place has no part of it in order, so no window that could be the best of a pair is left out.
 2. SimHash: each window and item gets a 64-bit fingerprint of its weighted shingles.
 3. multi-index Hamming blocks: fingerprints are cut into ``radius + 1`` blocks; two within ``radius`` bits agree in at
-   least one of them, so an equi-join on (item, block, bits) finds all fingerprints within the radius.
+   least one of them, so an equi-join of windows and items on (length, block, bits) finds all fingerprints within the
+   radius.  This join alone makes the candidate pairs.
 4. exact check: weighted (multiset) Jaccard similarity of the shingles, at least ``similarity``.
 
+A window of similarity 0.8 is expected about 10 bits away from its item, give or take 3; the radius of 23 leaves none out
+in practice, at the price of blocks of two and three bits, which part windows from other items of the length weakly.
+
 Words are runs of letters and digits in lower case, so that punctuation and line breaks don't hide a passage.
 The shingles of the benchmark are broadcast only up to ``BROADCAST_ROWS``; a larger benchmark is joined by shuffle.
 
@@ -70,36 +75,34 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity_least: float = SIM
     """The same with the row's keys k1 and k2 (id and text) in place of doc_id."""
     if not 0 <= radius <= 31:
         raise ValueError("radius + 1 blocks of at least two bits are needed")
+    C.small_batches(C.session_of(docs))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), shingle_hashes(F.col("text")).alias("item")).where(F.size("item") > 0).distinct()
     items = items.select("item_id", "item", F.xxhash64("item").alias("item_key"), fingerprint(F.col("item")).alias("item_fp"))
     items = C.materialize(items, "items")
-    grams = items.select("item_id", "item_key", F.size("item").alias("n"), F.posexplode("item").alias("at", "gram"))
-    # a shingle's places in all items together: one row a shingle, so the join makes no more rows than the documents have
-    places = grams.groupBy("gram").agg(F.collect_list(F.struct("item_id", "item_key", "at", "n")).alias("places"))
+    grams = items.select(F.size("item").alias("n"), F.posexplode("item").alias("at", "gram"))
+    # where a shingle may stand in an item, and in items how long: a bounded list, and one row a shingle
+    places = grams.groupBy("gram").agg(F.collect_set(F.struct("at", "n")).alias("places"))
     few = items.agg(F.sum(F.size("item"))).first()[0] or 0
     if few <= BROADCAST_ROWS:
         places = F.broadcast(places)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     keyed = base.select("text", *C.row_keys())
     hits = keyed.select("k1", "k2", F.posexplode(shingle_hashes(F.col("text"))).alias("pos", "gram")).join(places, "gram")
-    laid = hits.select("k1", "k2", "pos", F.inline("places")).select("k1", "k2", "item_id", "item_key", (F.col("pos") - F.col("at")).alias("start")).distinct()
+    laid = hits.select("k1", "k2", "pos", F.inline("places")).select("k1", "k2", "n", (F.col("pos") - F.col("at")).alias("start")).distinct()
     laid = C.materialize(laid, "laid")
-    found = laid.groupBy("k1", "k2").agg(F.collect_list(F.struct("item_id", "item_key", "start")).alias("laid"))
+    found = laid.groupBy("k1", "k2").agg(F.collect_list(F.struct("n", "start")).alias("laid"))
+    # rows that repeat a document give its windows again, which the distinct below takes out
     full = keyed.join(found, ["k1", "k2"]).select("k1", "k2", "laid", shingle_hashes(F.col("text")).alias("doc"))
     windows = full.select("k1", "k2", "doc", F.inline("laid"))
-    if few <= BROADCAST_ROWS:
-        sized = F.broadcast(items)
-    else:
-        sized = items
-    windows = windows.join(sized.select("item_id", "item_key", F.size("item").alias("n")), ["item_id", "item_key"])
     low, high = F.greatest(F.col("start"), F.lit(0)), F.least(F.col("start") + F.col("n"), F.size("doc"))
-    windows = windows.select("k1", "k2", "item_id", "item_key", "start", F.slice("doc", low + 1, F.greatest(high - low, F.lit(0))).alias("win"))
+    windows = windows.select("k1", "k2", "n", "start", F.slice("doc", low + 1, F.greatest(high - low, F.lit(0))).alias("win"))
     windows = C.materialize(windows.withColumn("fp", fingerprint(F.col("win"))), "windows")
-    left = windows.select("k1", "k2", "item_id", "item_key", "start", "fp", F.inline(blocks(F.col("fp"), radius)))
-    right = items.select("item_id", "item_key", "item_fp", F.inline(blocks(F.col("item_fp"), radius)))
-    near = left.join(right, ["item_id", "item_key", "block", "bits"]).withColumn("hamming", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))))
-    near = near.where(F.col("hamming") <= radius).select("k1", "k2", "item_id", "item_key", "start", "hamming").distinct()
-    checked = near.join(windows.select("k1", "k2", "item_id", "item_key", "start", "win"), ["k1", "k2", "item_id", "item_key", "start"]).join(items.select("item_id", "item_key", "item"), ["item_id", "item_key"])
+    C.discard(laid)
+    left = windows.select("k1", "k2", "n", "start", "fp", F.inline(blocks(F.col("fp"), radius)))
+    right = items.select("item_id", "item_key", F.size("item").alias("n"), "item_fp", F.inline(blocks(F.col("item_fp"), radius)))
+    near = left.join(right, ["n", "block", "bits"]).withColumn("hamming", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))))
+    near = near.where(F.col("hamming") <= radius).select("k1", "k2", "n", "start", "item_id", "item_key", "hamming").distinct()
+    checked = near.join(windows.select("k1", "k2", "n", "start", "win"), ["k1", "k2", "n", "start"]).drop("n").join(items.select("item_id", "item_key", "item"), ["item_id", "item_key"])
     checked = checked.withColumn("similarity", similarity(F.col("win"), F.col("item"))).where(F.col("similarity") >= similarity_least)
     best = checked.groupBy("k1", "k2", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), (F.size("item") + SHINGLE - 1).alias("n"), "hamming")).alias("b"))
     return best.select("k1", "k2", "item_id", (-F.col("b.s")).alias("start"), F.col("b.n").alias("n_words"), F.col("b.hamming").alias("hamming"), F.col("b.similarity").alias("similarity"))
