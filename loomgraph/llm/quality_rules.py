@@ -1,14 +1,17 @@
 """Quality rules: plain limits, then robust multivariate outliers per language and source.
 
-Minimum covariance determinant: from medians and median deviations, concentration steps keep the share ``H`` of a
-group's documents nearest to the current centre and re-estimate centre and covariance from these, until the steps end.
-A step is one aggregation by (group, distance bin) over the small table of statistics; the rows of a group never meet in
-one task, only its bins do.  A document is rejected if its Mahalanobis distance passes the ``TAIL`` quantile.
+Minimum covariance determinant: of a group's documents, the share ``H`` whose covariance has the least determinant.
+Each group has ``STARTS`` starts: centre and spread by medians, and the covariances of documents drawn by hash.  A
+concentration step keeps the share ``H`` nearest to the current centre and estimates centre and covariance anew from
+these.  All starts take ``FIRST`` steps; the one of the least determinant goes on until its determinant falls no more.
+A step is one aggregation by (group, start, distance bin) over the small table of statistics; the rows of a group never
+meet in one task, only its bins do.  A document is rejected if its Mahalanobis distance passes the ``TAIL`` quantile.
+The length of a text isn't a fault: it enters as the divisor of the statistics, and the plain limits bound it.
 
 Defined results: null text has no words; a null lang or source is a group of its own; groups under ``LEAST`` documents
-are pooled by language, then over all; a pool still under ``LEAST`` rejects only by the plain limits; statistics without
-spread get the floors in ``FLOOR``, so ties reject nobody; repeated rows count as often as they occur; an empty table
-gives no rows.
+are pooled by language, then over all; a pool still under ``LEAST`` rejects only by the plain limits; to each covariance
+the squares in ``FLOOR`` are added, so statistics without spread, and ties, reject nobody; repeated rows count as often
+as they occur; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,10 +31,13 @@ from .repeats import rolling
 SYMBOLS = b"#*$%&|<>"
 SPACE = b" \t\n\x0b\x0c\r"
 MIN_WORDS, MAX_REPEAT = 10, 0.20
-H, STEPS, LEAST = 0.75, 6, 40
+H, LEAST = 0.75, 40
+STARTS, FIRST = 4, 2
+#: Fall of the determinant's logarithm under which a step counts as none.
+STILL = 1e-4
 #: Share of a clean normal group that would be rejected.
 TAIL = 1e-8
-#: Least standard deviation of each transformed statistic.
+#: Standard deviation added to each transformed statistic.
 FLOOR = (0.06, 0.25, 0.25, 0.09)
 DIMS = len(FLOOR)
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -139,15 +145,39 @@ def _start(each: DataFrame) -> DataFrame:
             prec[k, k] = 1 / max(1.4826 * middle(abs(v - mu[k]), n), FLOOR[k]) ** 2
         return pd.DataFrame({"cell": [pdf["cell"].iloc[0]], "mu": [mu.tolist()], "prec": [prec.ravel().tolist()]})
 
-    return hist.groupBy("cell").applyInPandas(centre, "cell string, mu array<double>, prec array<double>")
+    return hist.groupBy("cell").applyInPandas(centre, "cell string, mu array<double>, prec array<double>").withColumn("s", F.lit(0))
+
+
+def _spread(cov: np.ndarray) -> tuple[list, float]:
+    """The inverse with the floor, and the logarithm of the determinant."""
+    cov = cov + np.diag(np.square(FLOOR))
+    return np.linalg.inv(cov).ravel().tolist(), float(np.linalg.slogdet(cov)[1])
+
+
+def _drawn(each: DataFrame) -> DataFrame:
+    """Starts from DIMS + 1 documents each, drawn by hash: from each of as many heaps the least hash."""
+    heaps = DIMS + 1
+    heap = lambda s: F.pmod(F.xxhash64("r", F.lit(-s)), F.lit(heaps))
+    least = lambda s, j: F.min(F.when(heap(s) == j, F.struct(F.xxhash64("r", F.lit(s)).alias("h"), "x"))).alias(f"d{s}_{j}")
+    points = each.groupBy("cell").agg(*[least(s, j) for s in range(1, STARTS) for j in range(heaps)])
+    sets = [F.struct(F.lit(s).alias("s"), F.filter(F.array(*[F.col(f"d{s}_{j}.x") for j in range(heaps)]), lambda x: x.isNotNull()).alias("xs")) for s in range(1, STARTS)]
+
+    def estimate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            xs = [np.stack([np.asarray(x, float) for x in g]) for g in pdf["xs"]]
+            found = [(g.mean(axis=0).tolist(), _spread(np.cov(g.T, bias=True).reshape(DIMS, DIMS) if len(g) > 1 else np.zeros((DIMS, DIMS)))[0]) for g in xs]
+            yield pd.DataFrame({"cell": pdf["cell"], "mu": [m for m, _ in found], "prec": [q for _, q in found], "s": pdf["s"]})
+
+    return points.select("cell", F.inline(F.array(*sets))).mapInPandas(estimate, "cell string, mu array<double>, prec array<double>, s int")
 
 
 def _step(each: DataFrame, model: DataFrame) -> DataFrame:
-    """One concentration step."""
+    """One concentration step from each model (cell, s, mu, prec): the same with logdet, the determinant's logarithm."""
     x = [F.col("x")[i] for i in range(DIMS)]
-    rows = _with_model(each, model).withColumn("bin", _distance_bin(_distance(x)))
+    # AQE decides between broadcast and a join that splits the hot group
+    rows = each.join(model.select("cell", "s", "mu", "prec"), "cell").withColumn("bin", _distance_bin(_distance(x)))
     pairs = [(i, j) for i in range(DIMS) for j in range(i, DIMS)]
-    sums = rows.groupBy("cell", "bin").agg(F.count(F.lit(1)).alias("n"), *[F.sum(x[i]).alias(f"s{i}") for i in range(DIMS)], *[F.sum(x[i] * x[j]).alias(f"s{i}_{j}") for i, j in pairs])
+    sums = rows.groupBy("cell", "s", "bin").agg(F.count(F.lit(1)).alias("n"), *[F.sum(x[i]).alias(f"s{i}") for i in range(DIMS)], *[F.sum(x[i] * x[j]).alias(f"s{i}_{j}") for i, j in pairs])
     inner = 1 - chi2_tail(chi2_quantile(1 - H, DIMS), DIMS + 2)
     scale = H / inner
 
@@ -161,29 +191,41 @@ def _step(each: DataFrame, model: DataFrame) -> DataFrame:
         for i, j in pairs:
             cov[i, j] = cov[j, i] = part[f"s{i}_{j}"].sum() / n - mu[i] * mu[j]
         cov = cov * scale
-        # lift the spread of every direction, so that nothing is infinitely far
-        cov[np.diag_indices(DIMS)] = np.maximum(cov.diagonal(), 0) + np.square(FLOOR)
-        return pd.DataFrame({"cell": [pdf["cell"].iloc[0]], "mu": [mu.tolist()], "prec": [np.linalg.inv(cov).ravel().tolist()]})
-
-    return sums.groupBy("cell").applyInPandas(again, "cell string, mu array<double>, prec array<double>")
-
-
-def _with_model(each: DataFrame, model: DataFrame) -> DataFrame:
-    """AQE decides between broadcast and a join that splits the hot group."""
-    return each.join(model, "cell")
-
-
-def fit(stats: DataFrame, steps: int = STEPS) -> tuple[DataFrame, DataFrame]:
+        cov[np.diag_indices(DIMS)] = np.maximum(cov.diagonal(), 0)
+        prec, logdet = _spread(cov)
+        return pd.DataFrame({"cell": [pdf["cell"].iloc[0]], "s": [pdf["s"].iloc[0]], "mu": [mu.tolist()], "prec": [prec], "logdet": [logdet]})
+
+    return sums.groupBy("cell", "s").applyInPandas(again, "cell string, s int, mu array<double>, prec array<double>, logdet double")
+
+
+def concentrate(each: DataFrame, model: DataFrame) -> DataFrame:
+    """cell, s, mu, prec, logdet: of all starts the best, after steps until its determinant falls no more."""
+    for _ in range(FIRST):
+        before, model = model, C.materialize(_step(each, model), "model")
+        C.discard(before)
+    best = F.min(F.struct("logdet", "s", "mu", "prec")).alias("m")
+    model = C.materialize(model.groupBy("cell").agg(best).select("cell", "m.s", "m.mu", "m.prec", "m.logdet", F.lit(False).alias("still")), "model")
+    while True:
+        after = _step(each, model.where("not still")).select("cell", F.struct("mu", "prec", "logdet").alias("new"))
+        both = model.join(after, "cell", "left").withColumn("fell", F.coalesce(F.col("new.logdet") < F.col("logdet") - STILL, F.lit(False)))
+        pick = lambda n: F.when(F.col("fell"), F.col(f"new.{n}")).otherwise(F.col(n)).alias(n)
+        before, model = model, C.materialize(both.select("cell", "s", pick("mu"), pick("prec"), pick("logdet"), (~F.col("fell")).alias("still")), "model")
+        C.discard(before)
+        if model.where("not still").isEmpty():
+            return model
+
+
+def fit(stats: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The groups (l, s, cell) and their models (cell, mu, prec); documents that fail a plain limit don't count."""
     sound = stats.where(~base_failed())
     cells = C.materialize(_cells(sound), "cells")
-    each = sound.join(cells, sound["lang"].eqNullSafe(cells["l"]) & sound["source"].eqNullSafe(cells["s"])).select("cell", F.array(*vector()).alias("x"))
+    named = F.xxhash64("doc_id", *STATS).alias("r")
+    each = sound.join(cells, sound["lang"].eqNullSafe(cells["l"]) & sound["source"].eqNullSafe(cells["s"])).select("cell", named, F.array(*vector()).alias("x"))
     each = C.materialize(each, "vectors")
     enough = each.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST).select("cell")
-    model = C.materialize(_start(each).join(enough, "cell"), "model")
-    for _ in range(steps):
-        model = C.materialize(_step(each, model), "model")
-    return cells, model
+    model = concentrate(each, C.materialize(_start(each).unionByName(_drawn(each)).join(enough, "cell"), "model"))
+    C.discard(each)
+    return cells, model.select("cell", "mu", "prec")
 
 
 def judged(stats: DataFrame, tail: float = TAIL) -> DataFrame:
