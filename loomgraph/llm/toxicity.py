@@ -72,7 +72,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = MOST, folds: i
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST) -> dict:
-    """The model: a weight for each hashed n-gram (2**20 at most) and a constant."""
+    """The model: weights for at most ``KEEP`` hashed n-grams and a constant."""
     spark = C.session_of(docs)
     C.small_batches(spark)
     chosen = training_rows(docs, labels, most)
@@ -83,8 +83,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST) -> dict:
             made = [(y, zlib.compress(np.diff(present(t), prepend=np.uint32(0)).tobytes(), 1)) for t, y in columns(b, "text", "toxic")]
             yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int32()), pa.array([m[1] for m in made], pa.binary())], names=["y", "grams"])
 
-    # 2 * most ids: a proven bound
-    rows = texts.join(F.broadcast(chosen), "doc_id").mapInArrow(run, "y int, grams binary").collect()
+    # at most 2 * most rows, and a row holds no more than the 2**23 features there are
+    rows = C.bounded(texts, chosen, 2 * most, "toxic").mapInArrow(run, "y int, grams binary").collect()
     rows = sorted((r.y, bytes(r.grams)) for r in rows)
     y = np.array([r[0] for r in rows], np.float64)
     if not len(y) or y.min() == y.max():
