@@ -1,4 +1,4 @@
-"""SimHash near-dedup: fingerprints of 3-word shingles, linked by meet-in-the-middle ball hashing.
+"""SimHash near-dedup: fingerprints of word shingles, linked by meet-in-the-middle ball hashing.
 
 Two fingerprints that differ in at most 2r bits have a common neighbour within r bits of each.  So every different
 fingerprint emits all variants within half the radius, the variants are shuffled, and fingerprints that meet are
@@ -6,6 +6,12 @@ verified.  At an even radius those meeting at one variant are within the radius
 least of them: a star, not all pairs, links the same documents.  Components come from min-label propagation with
 pointer jumping over the different fingerprints; copies of a text collapse into one fingerprint beforehand.
 
+``dedup`` links fingerprints alone.  ``near_copies`` finds texts whose sets of five-word shingles have Jaccard similarity
+0.8 or more.  One 64-bit fingerprint can't: such texts differ in 5 to 10 of its bits, and a ball that wide has millions of
+members.  So the same balls are laid round ``TABLES`` short fingerprints of ``BITS`` bits, made from two-word shingles,
+which an edit disturbs less; texts that meet in any table are held against each other over all tables, then by their
+exact sets.  Recall is a matter of chance: see the README for figures.
+
 Defined results: null text and text without words have fingerprint zero, linked like any other; fewer words than a
 shingle make one shingle of the whole sequence; a null doc_id sorts before all others; an empty table gives no rows.
 """
@@ -18,7 +24,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -26,6 +32,10 @@ from .repeats import columns
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _SLICE = 1 << 14
+#: Short fingerprints of near_copies: their number, bits, words of a shingle; share of all their bits that may differ.
+TABLES, BITS, PRINT_WORDS, FAR = 6, 32, 2, 0.3
+#: Least similarity of near copies as a fraction of whole numbers, so that the test has no rounding.
+LEAST = (4, 5)
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -39,18 +49,21 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprint(text: bytes, words_each: int = 3) -> int:
-    words = text.translate(_LOWER).split()
+def shingles(words: list[bytes], words_each: int) -> np.ndarray:
+    """XXH64 of each shingle, repeats included."""
     if not words:
-        return 0
-    line = b" ".join(words)
+        return np.zeros(0, np.uint64)
+    line, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= words_each:
-        return majority(np.array([xxhash.xxh64_intdigest(line, 42)], np.uint64))
+        return np.array([digest(line, 42)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = [0, *ends[: len(words) - words_each].tolist()]
     stops = (ends[words_each - 1 :] - 1).tolist()
-    digest = xxhash.xxh64_intdigest
-    return majority(np.array([digest(line[a:b], 42) for a, b in zip(starts, stops, strict=True)], np.uint64))
+    return np.array([digest(line[a:b], 42) for a, b in zip(starts, stops, strict=True)], np.uint64)
+
+
+def fingerprint(text: bytes, words_each: int = 3) -> int:
+    return majority(shingles(text.translate(_LOWER).split(), words_each))
 
 
 def fingerprints(docs: DataFrame, words_each: int = 3) -> DataFrame:
@@ -70,11 +83,16 @@ def ball(radius: int) -> list[int]:
     return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
 
 
+def spread(table: DataFrame, by: str, rows: int = 20_000) -> DataFrame:
+    """A materialized table dealt out so that each task explodes about as many rows, whatever files it lies in."""
+    return table.repartition(C.shards_for(table.count(), rows, 8), by)
+
+
 def links(fps: DataFrame, radius: int = 2) -> DataFrame:
     """a < b: pairs of different fingerprints, enough to link all that are within the radius through others."""
     if radius % 2:
         raise ValueError("the radius must be even: each side emits variants within half of it")
-    variants = fps.select("fp", F.explode(F.array(*[F.lit(m) for m in ball(radius // 2)])).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
+    variants = spread(fps, "fp").select("fp", F.explode(F.array(*[F.lit(m) for m in ball(radius // 2)])).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
     # different fingerprints within r bits of one variant: at most as many as the ball has members
     met = variants.groupBy("variant").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
     pairs = met.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b").distinct()
@@ -96,8 +114,10 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         owner = step.join(nodes.select("node", F.col("label").alias("name")), "node").select(F.col("name").alias("label"), F.col("label").alias("jump"))
         step = step.join(owner, "label", "left").select("node", "was", F.least("label", F.coalesce("jump", "label")).alias("label"))
         step = C.materialize(step, "labels")
+        C.discard(labels)
         labels = step.select("node", "label")
         if step.where("was <> label").isEmpty():
+            C.discard(both)
             return labels.select("node", F.col("label").alias("root"))
 
 
@@ -113,3 +133,99 @@ def dedup(docs: DataFrame, radius: int = 2, words_each: int = 3) -> DataFrame:
     roots = kinds.join(found, "node", "left").select(F.col("node").alias("fp"), F.coalesce("root.id", "label.id").alias("component_id"))
     out = prints.join(roots, "fp")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(F.col("component_id") != C.NO_ID, F.col("component_id")).alias("component_id"), "fp")
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays]), pa.int64()))
+
+
+def row_name() -> list[Column]:
+    """What names a row: its id (null as NO_ID) and a hash of its text (null as empty)."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(C.NO_ID)), F.xxhash64(text)]
+
+
+def _shingle_set(text: bytes, words_each: int) -> np.ndarray:
+    return np.unique(shingles(text.translate(_LOWER).split(), words_each)).view(np.int64)
+
+
+def _prints(words: list[bytes], tables: int, bits: int, print_words: int) -> np.ndarray:
+    """Independent fingerprints of ``bits`` bits each."""
+    h, each = shingles(words, print_words), 64 // bits
+    whole = [majority(C.mix64(h + np.uint64(k + 1))) for k in range(-(-tables // each))]
+    return np.array([w >> bits * i & (1 << bits) - 1 for w in whole for i in range(each)][:tables], np.uint64).view(np.int64)
+
+
+def near_pairs(rows: DataFrame, words_each: int, least: tuple[int, int], tables: int = TABLES, bits: int = BITS, print_words: int = PRINT_WORDS) -> tuple[DataFrame, DataFrame]:
+    """rows: id, th, text.  The kinds (key of a different set of shingles; label, the least row that has it) and the
+    similar pairs a < b of keys met."""
+    if bits not in (8, 16, 32, 64):
+        raise ValueError("bits must divide 64")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, sizes, prints = [], [], []
+            for (text,) in columns(batch, "text"):
+                words = text.translate(_LOWER).split()
+                s = np.unique(shingles(words, words_each))
+                keys.append(xxhash.xxh64_intdigest(s.tobytes(), 7) - (1 << 63))
+                sizes.append(len(s))
+                prints.append(_prints(words, tables, bits, print_words))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), _lists(prints)], names=["id", "th", "key", "n", "prints"])
+        C.release()
+
+    made = rows.select("id", "th", "text").mapInArrow(sets, "id long, th long, key long, n int, prints array<long>")
+    kinds = C.materialize(made.groupBy("key").agg(F.min(F.struct("id", "th", "key", "n", "prints")).alias("x")).select("key", F.struct("x.id", "x.th", "x.key").alias("label"), "x.n", "x.prints"), "kinds")
+
+    at = kinds.select("key", F.posexplode("prints").alias("t", "print"))
+    # texts of one short fingerprint are tied to the least of them, which alone emits its variants
+    spots = C.materialize(at.groupBy("t", "print").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("n")), "spots")
+    same = at.join(spots.where("n > 1"), ["t", "print"]).where("key <> rep").select(F.col("rep").alias("a"), F.col("key").alias("b"))
+    masks = [0, *(1 << b if b < 63 else -(1 << 63) for b in range(bits))]
+    variants = spread(spots.select("t", "print", "rep"), "print").select("t", "print", "rep", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("mask")).select("t", "rep", F.col("print").bitwiseXOR(F.col("mask")).alias("variant"))
+    met = variants.groupBy("t", "variant").agg(F.collect_list("rep").alias("reps")).where(F.size("reps") > 1)
+    stars = met.select(F.array_min("reps").alias("a"), F.explode("reps").alias("b")).where("a <> b")
+    pairs = C.materialize(stars.union(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    C.discard(spots)
+
+    # over all tables, and by size: what is left is verified by the sets
+    up, down = least
+    side = lambda x: kinds.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("prints").alias(f"p{x}"))
+    apart = sum((F.bit_count(F.col("pa")[i].bitwiseXOR(F.col("pb")[i])) for i in range(tables)), F.lit(0))
+    close = pairs.join(side("a"), "a").join(side("b"), "b").where((apart <= int(FAR * tables * bits)) & (F.least("na", "nb") * down >= F.greatest("na", "nb") * up))
+    close = C.materialize(close.select("a", "b"), "close")
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists([_shingle_set(t, words_each) for (t,) in columns(batch, "text")])], names=["key", "set"])
+        C.release()
+
+    wanted = kinds.join(close.select(F.col("a").alias("key")).union(close.select("b")).distinct(), "key").select("key", "label.id", "label.th")
+    # rows that repeat id and text make one
+    named = C.materialize(rows.join(wanted, ["id", "th"]).select("key", "text").mapInArrow(members, "key long, set array<long>").dropDuplicates(["key"]), "members")
+    both = close.join(named.select(F.col("key").alias("a"), F.col("set").alias("s")), "a").join(named.select(F.col("key").alias("b"), F.col("set").alias("t")), "b")
+    found = C.materialize(both.where(F.size(F.array_intersect("s", "t")) * F.lit(up + down) >= (F.size("s") + F.size("t")) * F.lit(up)).select("a", "b"), "edges")
+    C.discard(pairs, close, named)
+    return kinds, found
+
+
+def near_copies(docs: DataFrame, words_each: int = 5, least: tuple[int, int] = LEAST, tables: int = TABLES, bits: int = BITS, print_words: int = PRINT_WORDS) -> DataFrame:
+    """key, label, root: for each different set of shingles the least row that has it, and the least of its component.
+
+    label and root are structs of id, th (row_name) and key.
+    """
+    C.small_batches(C.session_of(docs))
+    row_id, th = row_name()
+    rows = docs.select(row_id.alias("id"), th.alias("th"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
+    kinds, edges = near_pairs(rows, words_each, least, tables, bits, print_words)
+    roots = components(kinds.select(F.col("key").alias("node"), "label"), edges).select(F.col("node").alias("key"), "root")
+    return kinds.select("key", "label").join(roots, "key", "left").select("key", "label", F.coalesce("root", "label").alias("root"))
+
+
+def without_near_copies(docs: DataFrame, **setting) -> DataFrame:
+    """Of each component of near copies one row, that of the least doc_id (null first) and then text hash; docs' columns."""
+    leads = near_copies(docs, **setting).where("label = root").select("label.id", "label.th")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    row_id, th = row_name()
+    return docs.select(row, row_id.alias("id"), th.alias("th")).join(leads, ["id", "th"]).dropDuplicates(["id", "th"]).select("row.*")

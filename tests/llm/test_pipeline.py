@@ -17,7 +17,7 @@ def test_stages(spark, sf_dir, tmp_path):
         if name == "quality_rules":
             assert {r.doc_id for r in docs.collect()} == {r.doc_id for r in quality_rules.rules(before).where("kept").collect()}
         if name == "simhash_near_dedup":
-            assert sorted(r.doc_id for r in docs.collect()) == sorted({r.component_id for r in simhash.dedup(before).collect()})
+            assert sorted(r.doc_id for r in docs.collect()) == sorted({r.root.id for r in simhash.near_copies(before).collect()})
         if name == "decontamination":
             bad = {r.doc_id for r in decontaminate.find(before, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).collect()}
             assert sorted(r.doc_id for r in docs.collect()) == sorted(r.doc_id for r in before.collect() if r.doc_id not in bad)
@@ -28,3 +28,23 @@ def test_stages(spark, sf_dir, tmp_path):
 
 def test_run_gives_packed_rows(spark, sf_dir):
     assert {"input_ids", "cu_seqlens", "position_ids"} <= set(corpus_pipeline.run(spark, sf_dir).columns)
+
+
+def test_stages_on_odd_rows(spark, sf_dir):
+    """Nulls in any column, empty texts, repeated rows and ids, columns whose names clash with those the stages make."""
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi".split()
+    text = lambda k: " ".join(words[(k * 5 + i * (k + 1)) % 14] + str(i * k % 7) for i in range(40))
+    rows = [(i, text(i), "en" if i % 3 else None, "s" if i % 2 else None) for i in range(40)] + [(None, None, None, None), (None, text(50), None, "s"), (7, text(51), "en", "s"), (7, text(51), "en", "s"), (41, "", "en", "s")]
+    docs = spark.createDataFrame([(d, t, l, s, 1, "x", 2, 3, "y") for d, t, l, s in rows], "doc_id long, text string, lang string, source string, n_chars long, _lead string, k1 long, size long, row string")
+    for given in (docs, docs.where("false")):
+        now = given
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, now, sf_dir)
+            if i < 4:
+                assert out.columns == docs.columns
+                assert out.count() <= (now.count() if i < 3 else 3 * now.count())
+                now = spark.createDataFrame(out.collect(), out.schema)
+            else:
+                assert (out.count() > 0) == (given is docs)
+    kept = corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()
+    assert sum(r.doc_id == 7 and r.text == text(51) for r in kept) <= 1
