@@ -44,9 +44,11 @@ def vectors0(spark, sf):
     return cut(E.initial(G.nodes_of(edges(spark, sf, "users")), DIM), "z")
 
 
-TB = walk_sql(WALKS, LENGTH) + f""", tb AS MATERIALIZED (SELECT u, v, min(mn)::DOUBLE AS h, sum(cnt)::DOUBLE AS freq FROM (SELECT start AS u, path[i + 1] AS v, min(i) AS mn, count(*) AS cnt FROM walks, (SELECT unnest(range(1, {LENGTH})) AS i) WHERE path[i + 1] <> start GROUP BY 1, 2 UNION ALL SELECT src, dst, 1, 1 FROM e) GROUP BY 1, 2),
+#: Near degrees and first vectors of a pair table tb.
+START = f""",
 nd AS MATERIALIZED (SELECT u AS id, sum((h = 1)::INT)::DOUBLE AS degree FROM tb GROUP BY u),
 z0 AS MATERIALIZED (SELECT id, [{', '.join(normal_sql('z0', 'id', str(i)) for i in range(DIM))}] AS vec FROM deg)"""
+TB = walk_sql(WALKS, LENGTH) + f""", tb AS MATERIALIZED (SELECT u, v, min(mn)::DOUBLE AS h, sum(cnt)::DOUBLE AS freq FROM (SELECT start AS u, path[i + 1] AS v, min(i) AS mn, count(*) AS cnt FROM walks, (SELECT unnest(range(1, {LENGTH})) AS i) WHERE path[i + 1] <> start GROUP BY 1, 2 UNION ALL SELECT src, dst, 1, 1 FROM e) GROUP BY 1, 2)""" + START
 _P = L.PARAMS
 PR = TB + """, sh AS (SELECT u, h, count(*) AS n FROM tb GROUP BY 1, 2), pr AS MATERIALIZED (SELECT t.u, t.v, t.h, t.freq, a.degree, CASE WHEN t.h <= 1 THEN -1.0 ELSE t.h / greatest(t.freq, 1.0) END AS w, CASE WHEN a.degree <= coalesce(b.degree, 0) THEN 1 ELSE -1 END AS deg_le, 1.0::DOUBLE / sh.n AS shell_c, list_distance(y.vec, x.vec) AS x
 FROM tb t JOIN nd a ON a.id = t.u LEFT JOIN nd b ON b.id = t.v JOIN sh ON sh.u = t.u AND sh.h = t.h JOIN z0 y ON y.id = t.u JOIN z0 x ON x.id = t.v)"""
@@ -123,6 +125,16 @@ def wide_sql(table: str, col: str = "vec", digits: int = 5) -> str:
     return f" SELECT id, {', '.join(f'round({col}[{i + 1}], {digits}) AS {col[0]}{i}' for i in range(DIM))} FROM {table}"
 
 
+def epochs_sql(epochs: int, lr: float, drop: float = 0.0) -> str:
+    """z1, z2, ...: the plain rule with linear decay, rows left out by a draw."""
+    s = ""
+    for k in range(1, epochs + 1):
+        moved = ", ".join(f"z.vec[{i}] + {lr * max(0.0, 1 - k / epochs)!r} * g.g[{i}]" for i in range(1, DIM + 1))
+        stays = "g.g IS NULL" + (f" OR {u01_sql('drop', str(k), 'z.id')} < {drop}" if drop else "")
+        s += force_sql(f"z{k - 1}", f"g{k}") + f", z{k} AS MATERIALIZED (SELECT z.id, CASE WHEN {stays} THEN z.vec ELSE [{moved}] END AS vec FROM z{k - 1} z LEFT JOIN g{k} g ON g.id = z.id)"
+    return s
+
+
 FORCE = TB + force_sql("z0", "g1")
 
 
@@ -223,7 +235,7 @@ def row_mean_update(spark, sf):
     return wide(E.row_mean_update(z, cut(L.elementwise(p).select("u", "f"), "f")), digits=6)
 
 
-@query()
+@query(with_edges("users", TB + epochs_sql(5, 0.9, 0.3) + wide_sql("z5")))
 def relaxation(spark, sf):
     """Ten epochs with decay and random rows left out."""
     return wide(E.Relaxation("hop", DIM, "plain", 0.9, "linear", 0.3).embed(table(spark, sf), 5))

@@ -34,11 +34,17 @@ UND = BASE + f""", pos AS (SELECT path[i + 1] AS a, path[i + g + 1] AS b, g FROM
 st0 AS MATERIALIZED (SELECT least(a, b) AS u, greatest(a, b) AS v, min(g)::BIGINT AS mn, sum(g)::BIGINT AS sm, count(*)::BIGINT AS cnt FROM pos WHERE a <> b GROUP BY 1, 2)"""
 ROWS = BASE + f", rw AS MATERIALIZED (SELECT start AS u, path[i + 1] AS v, min(i)::BIGINT AS mn, count(*)::BIGINT AS cnt FROM walks, (SELECT unnest(range(1, {LENGTH})) AS i) WHERE path[i + 1] <> start GROUP BY 1, 2)"
 NBR = ROWS + ", nb AS MATERIALIZED (SELECT u, v, min(mn) AS mn, sum(cnt)::BIGINT AS cnt FROM (SELECT * FROM rw UNION ALL SELECT src, dst, 1, 1 FROM e) GROUP BY 1, 2)"
-CAPPED = UND + f""", ends AS (SELECT u AS node, 0 AS side, u, v, cnt FROM st0 UNION ALL SELECT v, 1, u, v, cnt FROM st0),
-kept AS (SELECT DISTINCT u, v FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY cnt DESC, side, u, v) AS r FROM ends) WHERE r <= {CAP}),
+
+
+def capped_sql(cap: int) -> str:
+    return UND + f""", ends AS (SELECT u AS node, 0 AS side, u, v, cnt FROM st0 UNION ALL SELECT v, 1, u, v, cnt FROM st0),
+kept AS (SELECT DISTINCT u, v FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY cnt DESC, side, u, v) AS r FROM ends) WHERE r <= {cap}),
 cp AS MATERIALIZED (SELECT st0.* FROM st0 JOIN kept USING (u, v))"""
 
 
+CAPPED = capped_sql(CAP)
+
+
 def und(spark, sf):
     return cut(P.pair_stats(walks(spark, sf), WINDOW), "und")
 
@@ -201,11 +207,13 @@ def freq_node(spark, sf):
 
 # policies
 SPEC = {"walks": WALKS, "walk_len": LENGTH, "window": WINDOW, "cap": CAP}
-_SUMMARY = " SELECT h, count(*)::BIGINT AS n, sum(freq) AS freq FROM tb GROUP BY h"
+_ROWS = " SELECT u, v, h, freq FROM tb"
+#: Walk pairs and the edges they lack.
+_WITH_EDGES = ", ce AS MATERIALIZED (SELECT u, v, mn, cnt FROM cp UNION ALL SELECT src, dst, 1, 1 FROM e WHERE src < dst AND NOT EXISTS (SELECT 1 FROM cp WHERE u = src AND v = dst))"
 
 
-def summary(table):
-    return table.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.sum("freq").alias("freq"))
+def table_rows(table):
+    return table.select("u", "v", F.col("h").cast("double").alias("h"), F.col("freq").cast("double").alias("freq"))
 
 
 def budget_sql() -> str:
@@ -213,28 +221,33 @@ def budget_sql() -> str:
 
 
 def _policy_sql(stats: str) -> str:
-    return _far_sql(budget_sql(), stats) + f""", tb AS (SELECT u, v, sum(h) AS h, sum(freq) AS freq FROM (SELECT u, v, mn::DOUBLE AS h, cnt::DOUBLE AS freq FROM {stats} UNION ALL SELECT v, u, mn, cnt FROM {stats} UNION ALL SELECT u, v, 100, 1 FROM far UNION ALL SELECT v, u, 100, 1 FROM far) GROUP BY 1, 2)""" + _SUMMARY
+    return _far_sql(budget_sql(), stats) + f""", tb AS MATERIALIZED (SELECT u, v, sum(h)::DOUBLE AS h, sum(freq)::DOUBLE AS freq FROM (SELECT u, v, mn::DOUBLE AS h, cnt::DOUBLE AS freq FROM {stats} UNION ALL SELECT v, u, mn, cnt FROM {stats} UNION ALL SELECT u, v, 100, 1 FROM far UNION ALL SELECT v, u, 100, 1 FROM far) GROUP BY 1, 2)"""
 
 
-@query(with_edges("basket", CAPPED + _policy_sql("cp")))
+@query(with_edges("basket", CAPPED + _policy_sql("cp") + _ROWS))
 def policy_walk(spark, sf):
-    return summary(A.augment(both(spark, sf), pairs="walk", **SPEC).table)
+    return table_rows(A.augment(both(spark, sf), pairs="walk", **SPEC).table)
+
+
+def walk_edges_sql(cap: int) -> str:
+    """The pair table tb of walks with all edges."""
+    return capped_sql(cap) + _WITH_EDGES + _policy_sql("ce")
 
 
-@query(with_edges("basket", CAPPED + ", ce AS MATERIALIZED (SELECT u, v, mn, cnt FROM cp UNION ALL SELECT src, dst, 1, 1 FROM e WHERE src < dst AND NOT EXISTS (SELECT 1 FROM cp WHERE u = src AND v = dst))" + _policy_sql("ce")))
+@query(with_edges("basket", walk_edges_sql(CAP) + _ROWS))
 def policy_walk_edges(spark, sf):
-    return summary(A.augment(both(spark, sf), pairs="walk_edges", **SPEC).table)
+    return table_rows(A.augment(both(spark, sf), pairs="walk_edges", **SPEC).table)
 
 
-@query(with_edges("basket", NBR + ", tb AS (SELECT u, v, mn::DOUBLE AS h, cnt::DOUBLE AS freq FROM nb)" + _SUMMARY))
+@query(with_edges("basket", NBR + ", tb AS (SELECT u, v, mn::DOUBLE AS h, cnt::DOUBLE AS freq FROM nb)" + _ROWS))
 def policy_nbr_walk(spark, sf):
-    return summary(A.augment(both(spark, sf), pairs="nbr_walk", **SPEC).table)
+    return table_rows(A.augment(both(spark, sf), pairs="nbr_walk", **SPEC).table)
 
 
 @query(with_edges("basket", UND + f""", eu AS (SELECT src AS u, dst AS v FROM e WHERE src < dst), hi AS (SELECT * FROM st0 WHERE mn >= 2), bs AS (SELECT * FROM {_bucket_sql('hi', 'mn', _BUDGET)}),
-pr AS (SELECT u, v, mn::DOUBLE AS h, cnt::DOUBLE AS freq FROM bs WHERE NOT EXISTS (SELECT 1 FROM eu WHERE eu.u = bs.u AND eu.v = bs.v) UNION ALL SELECT eu.u, eu.v, 1, coalesce(cnt, 1) FROM eu LEFT JOIN st0 USING (u, v)), tb AS (SELECT u, v, h, freq FROM pr UNION ALL SELECT v, u, h, freq FROM pr)""" + _SUMMARY))
+pr AS (SELECT u, v, mn::DOUBLE AS h, cnt::DOUBLE AS freq FROM bs WHERE NOT EXISTS (SELECT 1 FROM eu WHERE eu.u = bs.u AND eu.v = bs.v) UNION ALL SELECT eu.u, eu.v, 1, coalesce(cnt, 1) FROM eu LEFT JOIN st0 USING (u, v)), tb AS (SELECT u, v, h, freq FROM pr UNION ALL SELECT v, u, h, freq FROM pr)""" + _ROWS))
 def policy_buckets(spark, sf):
-    return summary(A.augment(both(spark, sf), pairs="walk", policy="buckets", **SPEC).table)
+    return table_rows(A.augment(both(spark, sf), pairs="walk", policy="buckets", **SPEC).table)
 
 
 @query(with_edges("users", walk_sql(WALKS, LENGTH) + f", rw AS (SELECT start AS u, path[i + 1] AS v, min(i)::BIGINT AS mn, count(*)::BIGINT AS cnt FROM walks, (SELECT unnest(range(1, {LENGTH})) AS i) WHERE path[i + 1] <> start GROUP BY 1, 2)" + _bfs_sql("deg", 8) + """

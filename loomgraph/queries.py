@@ -22,3 +22,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"flagship": flagship} | {name: f for part in _PARTS for name, f in part.Q.items()}
 ORACLES = {name: sql for part in _PARTS for name, sql in part.SQL.items()}
+ORACLES["flagship"] = q_graph.with_edges("basket", q_pairs.walk_edges_sql(8) + q_forces.START + q_forces.epochs_sql(3, 0.9) + " SELECT id, " + ", ".join(f"round(vec[{i + 1}], 5) AS z{i}" for i in range(4)) + " FROM z3")
