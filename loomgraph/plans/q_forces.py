@@ -344,13 +344,13 @@ def _projection_sql() -> str:
     for k in (1, 2, 3):
         s += f", u{k} AS MATERIALIZED (SELECT e.src AS id, u.i, sum(u.v) / any_value(d.deg) AS v FROM e JOIN u{k - 1} u ON e.dst = u.id JOIN deg d ON d.id = e.src GROUP BY e.src, u.i)"
     s += ", t AS (SELECT id, i, a.v + 100 * b.v + 7 * c.v + 138 * d.v AS v FROM u0 a JOIN u1 b USING (id, i) JOIN u2 c USING (id, i) JOIN u3 d USING (id, i))"
-    return s + " SELECT id, " + ", ".join(f"round(max(CASE WHEN i = {i} THEN v END), 4) AS z{i}" for i in range(8)) + " FROM t GROUP BY id"
+    return s + " SELECT id, " + ", ".join(f"round(max(CASE WHEN i = {i} THEN v END), 4) + 0.0 AS z{i}" for i in range(8)) + " FROM t GROUP BY id"
 
 
 @query(with_edges("basket", _projection_sql()))
 def random_projection(spark, sf):
     z = B.random_projection(cut(edges(spark, sf, "basket"), "edges"), 8)
-    return z.select("id", *[F.round(F.col("vec")[i], 4).alias(f"z{i}") for i in range(8)])
+    return z.select("id", *[(F.round(F.col("vec")[i], 4) + 0.0).alias(f"z{i}") for i in range(8)])  # no negative zero
 
 
 @query()
