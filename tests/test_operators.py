@@ -23,6 +23,7 @@ from loomgraph.plans import protocols as PR
 from loomgraph.plans import report as R
 from loomgraph.plans import tasks as T
 from loomgraph.plans.cli import build_parser, selected
+from loomgraph.sources import tables
 from loomgraph.streaming import epochs as ST
 
 
@@ -261,3 +262,19 @@ def test_seven_columns_are_cached(spark, grid):
     entries = [{"graph": "grid", "method": "spectral", "seed": 1, "z": z}, {"graph": "grid", "method": "again", "seed": 2, "z": z}]
     rows = seven.sequence(entries, lambda name: grid, cache, max_pairs=60, n_pairs=200, trees=5)
     assert len(cache) == 1 and set(seven.COLUMNS) <= set(rows[0]) and rows[1]["rho"] == rows[0]["rho"] > 0.5
+
+
+def test_approximate_neighbours_have_recall(spark, sf_dir):
+    z = tables.vectors(spark, sf_dir)
+    exact, near = K.knn(z, 10).select("id", "neighbour"), K.knn(z, 10, exact=False).select("id", "neighbour")
+    assert near.join(exact, ["id", "neighbour"]).count() >= 0.9 * exact.count()
+    with pytest.raises(ValueError):
+        K.knn(z, 10, "cosine", exact=False)
+
+
+def test_neighbours_with_ties_and_few_points(spark):
+    z = spark.createDataFrame([(i, [float(i % 3), 0.0]) for i in range(7)], "id long, vec array<double>")
+    got = {(r.id, r.rank): r.neighbour for r in K.knn_exact(z, 3).collect()}
+    assert got[0, 1] == 3 and got[0, 2] == 6 and got[0, 3] == 1 and got[1, 1] == 4
+    one = spark.createDataFrame([(5, [1.0])], "id long, vec array<double>")
+    assert K.knn_exact(one, 3).count() == 0
