@@ -6,6 +6,7 @@ rows and only the partial sums are shuffled.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Iterator
 
@@ -14,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rng import SEED, below, normal, u01
+from ..functions.rng import SEED, below, key, normal, u01
 from ..plans.state import cut, fits
 from . import laws as L
 from . import optim as O
@@ -100,6 +101,18 @@ def row_subset(nodes: DataFrame, rate: float, epoch: int, seed: int = SEED) -> D
     return nodes.where(u01("drop", epoch, F.col("id"), seed=seed) >= rate)
 
 
+def row_subset_count(nodes: DataFrame, rate: float, epoch: int, seed: int = SEED) -> DataFrame:
+    """The same with an exact number of rows: the share 1 - rate of them, one at least."""
+    keep = max(1, round(nodes.count() * (1 - rate)))
+    return nodes.select("id").orderBy(key("drop-count", epoch, F.col("id"), seed=seed), "id").limit(keep)
+
+
+def batch_subset(batches: int, rate: float, epoch: int, seed: int = SEED) -> list[int]:
+    """Which batches of an epoch run at all: an exact number, drawn by hash."""
+    drawn = sorted(range(batches), key=lambda b: hashlib.md5(f"{seed}|drop-batch|{epoch}|{b}".encode()).hexdigest())
+    return sorted(drawn[: max(1, round(batches * (1 - rate)))])
+
+
 # schedules
 def constant(epoch: int, epochs: int) -> float:
     return 1.0
@@ -202,11 +215,13 @@ class Relaxation:
             self.notify("epoch_begin", epoch=epoch)
             here = state.select("id", "vec")
             parts = []
-            for b in range(batches):
+            for b in batch_subset(batches, self.drop_rate, epoch, self.seed) if self.drop_strategy == "batch_subset" else range(batches):
                 self.notify("batch_begin", epoch=epoch, batch=b)
                 rows = None if batches == 1 else nodes.where(below(batches, "batch", F.col("id"), seed=self.seed) == b)
                 if self.drop_strategy == "row_subset" and self.drop_rate > 0:
                     rows = row_subset(rows if rows is not None else nodes, self.drop_rate, epoch, self.seed)
+                if self.drop_strategy == "row_subset_count" and self.drop_rate > 0:
+                    rows = row_subset_count(rows if rows is not None else nodes, self.drop_rate, epoch, self.seed)
                 if rows is None and block:
                     g = block_forces(table, here, degrees, self.law, self.d, n, self.params)
                 else:
@@ -216,7 +231,7 @@ class Relaxation:
             force = parts[0]
             for g in parts[1:]:
                 force = force.union(g)
-            if self.drop_strategy != "row_subset":
+            if self.drop_strategy not in ("row_subset", "row_subset_count", "batch_subset"):
                 force = drop(force, self.drop_rate, epoch, self.drop_strategy, self.seed)
             force = cut(force, "force")
             lr = self.lr * self.decay(epoch, first + epochs - 1)

@@ -56,7 +56,8 @@ def swing(z, g, s, lr, t, id, k_s: float = 0.1, k_max: float = 10.0, **kw):
 
 
 def velocity(z, g, s, lr, t, id, eta: float = 0.3, **kw):
-    v = F.zip_with(F.coalesce(s["m"], _scale(g, 0.0)), g, lambda a, b: eta * b + (1 - eta) * a)
+    """A moving average of the force; it begins with the first force a row meets, not with zero."""
+    v = F.when(s["m"].isNull(), g).otherwise(F.zip_with(s["m"], g, lambda a, b: eta * b + (1 - eta) * a))
     return _add(z, v, lr), {"m": v}
 
 
@@ -86,6 +87,7 @@ def state_arrays(name: str, memory: int = 3) -> int:
 
 
 def start_state(z: DataFrame, name: str) -> DataFrame:
+    """State that is null until a row's first step: rows of later batches meet the rule's first-step form when they come."""
     return z.select("id", "vec", *[F.lit(None).cast("array<double>").alias(s) for s in rule(name).state])
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..functions.rng import normal_sql, u01_sql
+from ..functions.rng import key_sql, normal_sql, u01_sql
 from ..operators import baselines as B
 from ..operators import build as K
 from ..operators import engine as E
@@ -167,7 +167,7 @@ _RULES = {
     "plain": (_l("vec", "g", f"#x + {LR} * #y"), _l("z1.vec", "g2.g", f"#x + {LR} * #y")),
     "momentum": (_l("vec", "g", f"#x + {LR} * #y"), "[" + ", ".join(f"z1.vec[{i}] + {LR} * (0.9 * g1.g[{i}] + g2.g[{i}])" for i in range(1, DIM + 1)) + "]"),
     "nesterov": (_l("vec", "g", f"#x + {LR} * (#y + 0.9 * #y)"), "[" + ", ".join(f"z1.vec[{i}] + {LR} * (g2.g[{i}] + 0.9 * (0.9 * g1.g[{i}] + g2.g[{i}]))" for i in range(1, DIM + 1)) + "]"),
-    "velocity": (_l("vec", "g", f"#x + {LR} * 0.3 * #y"), "[" + ", ".join(f"z1.vec[{i}] + {LR} * (0.3 * g2.g[{i}] + 0.7 * 0.3 * g1.g[{i}])" for i in range(1, DIM + 1)) + "]"),
+    "velocity": (_l("vec", "g", f"#x + {LR} * #y"), "[" + ", ".join(f"z1.vec[{i}] + {LR} * (0.3 * g2.g[{i}] + 0.7 * g1.g[{i}])" for i in range(1, DIM + 1)) + "]"),
     "adam": (
         _l("vec", "g", f"#x + {LR} * (0.1 * #y / (1 - 0.9)) / (sqrt(0.001 * #y * #y / (1 - 0.999)) + 1e-8)"),
         "[" + ", ".join(f"z1.vec[{i}] + {LR} * ((0.9 * 0.1 * g1.g[{i}] + 0.1 * g2.g[{i}]) / (1 - 0.81)) / (sqrt((0.999 * 0.001 * g1.g[{i}] * g1.g[{i}] + 0.001 * g2.g[{i}] * g2.g[{i}]) / (1 - 0.998001)) + 1e-8)" for i in range(1, DIM + 1)) + "]",
@@ -241,6 +241,24 @@ def relaxation(spark, sf):
     return wide(E.Relaxation("hop", DIM, "plain", 0.9, "linear", 0.3).embed(table(spark, sf), 5))
 
 
+@query(with_edges("users", TB + f", k AS (SELECT id, row_number() OVER (ORDER BY {key_sql('drop-count', '3', 'id')}, id) AS r FROM deg) SELECT id FROM k WHERE r <= greatest(1, round_even((SELECT count(*) FROM deg) * 0.7, 0))"))
+def drop_row_count(spark, sf):
+    """As many rows as the rate says, no more and no fewer."""
+    return E.row_subset_count(G.nodes_of(edges(spark, sf, "users")), 0.3, 3)
+
+
+@query(with_edges("users", TB + " SELECT id, " + ", ".join(f"round(vec[{i + 1}] + CASE WHEN id % 2 = 0 THEN 0.5 * vec[{i + 1}] + 0.5 * (0.3 * 2 * vec[{i + 1}] + 0.7 * vec[{i + 1}]) ELSE 0.5 * 2 * vec[{i + 1}] END, 5) AS v{i}" for i in range(DIM)) + " FROM z0"))
+def first_touch(spark, sf):
+    """Even rows step twice, odd ones once: by the first force, then by the average, each row from its own first step."""
+    z = vectors0(spark, sf)
+    state = O.start_state(z, "velocity")
+    force = z.select("id", F.col("vec").alias("g"))
+    even, odd = F.col("id") % 2 == 0, F.col("id") % 2 != 0
+    moved = O.apply(state.where(even), force, "velocity", 0.5, 1).unionByName(state.where(odd))
+    again = z.select("id", F.transform("vec", lambda x: x * 2).alias("g"))
+    return wide(O.apply(moved, again, "velocity", 0.5, 2))
+
+
 # vectors
 _PAIRS = "WITH z AS MATERIALIZED (SELECT vec_id::BIGINT AS id, list_transform(embedding, lambda x: x::DOUBLE) AS vec FROM embeddings), p AS (SELECT a.id AS u, b.id AS v, a.vec AS zu, b.vec AS zv FROM z a JOIN z b ON b.id BETWEEN a.id + 1 AND a.id + 5)"
 

@@ -278,3 +278,27 @@ def test_neighbours_with_ties_and_few_points(spark):
     assert got[0, 1] == 3 and got[0, 2] == 6 and got[0, 3] == 1 and got[1, 1] == 4
     one = spark.createDataFrame([(5, [1.0])], "id long, vec array<double>")
     assert K.knn_exact(one, 3).count() == 0
+
+
+def test_exact_counts_of_dropped_batches_and_rows(spark):
+    for epoch in range(5):
+        kept = E.batch_subset(10, 0.3, epoch)
+        assert len(kept) == 7 and kept == sorted(set(kept)) and kept == E.batch_subset(10, 0.3, epoch)
+    assert E.batch_subset(3, 0.99, 0) and len({tuple(E.batch_subset(10, 0.3, k)) for k in range(8)}) > 1
+    assert E.row_subset_count(spark.range(50), 0.3, 1).count() == 35
+    pairs = spark.createDataFrame([(u, v, 1.0, 1.0) for u in range(6) for v in range(6) if u != v], "u long, v long, h double, freq double")
+    for strategy in ("row_subset_count", "batch_subset"):
+        z = E.Relaxation("hop", 2, drop_rate=0.5, drop_strategy=strategy).embed(pairs, 1, batches=4)
+        first = {r.id: r.vec for r in E.initial(spark.range(6), 2).collect()}
+        assert 0 < sum(first[r.id] != r.vec for r in z.collect()) < 6
+
+
+def test_command_line_options():
+    parse = lambda *a: selected(build_parser().parse_args(["g", "z", *a]))
+    assert parse() == {"link_prediction": {}} and len(parse("--all")) == 7
+    assert parse("--da-pairs", "5") == {"dist_approx": {"n_pairs": 5}}
+    assert parse("-lp", "--metric", "cosine", "--tasks", "retrieval") == {"link_prediction": {}, "retrieval": {"metric": "cosine"}}
+    with pytest.raises(TypeError):
+        parse("--task", "retrieval(n_pairs=3)")
+    with pytest.raises(KeyError):
+        parse("--tasks", "nothing")
