@@ -157,11 +157,13 @@ def h_star(shells: DataFrame, tol: float = H_STAR_TOL) -> DataFrame:
     return shells.join(F.broadcast(best)).where(F.col("rho_cum") >= F.col("best") - tol).agg(F.max("h").alias("h_star"))  # one row
 
 
-def bootstrap(df: DataFrame, score: Callable[[pd.DataFrame], float], resamples: int = 1000, seed: int = SEED, low: float = 2.5, high: float = 97.5) -> DataFrame:
+def bootstrap(df: DataFrame, score: Callable[[pd.DataFrame], float], resamples: int = 1000, seed: int = SEED, low: float = 2.5, high: float = 97.5, most: int = 2_000_000) -> DataFrame:
     """low, high: percentile interval of a score over resamples with replacement; a task holds one resample at a time.
 
-    The rows must fit a task (they are a measured sample of pairs); resamples are dealt among tasks.
+    The rows are a measured sample of pairs that must fit a task: more than ``most`` raise.  Resamples are dealt among tasks.
     """
+    if (n := df.count()) > most:
+        raise ValueError(f"a bootstrap takes a sample of at most {most} rows, not {n}")
     rows = df.toPandas()
     shared = df.sparkSession.sparkContext.broadcast(rows)
 

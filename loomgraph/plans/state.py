@@ -26,6 +26,12 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete what lies at a path of any store."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def fits(rows: int, bytes_each: int) -> bool:
     """Whether a table of so many counted rows may be broadcast."""
     return rows * bytes_each <= BROADCAST_BYTES
