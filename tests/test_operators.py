@@ -329,3 +329,17 @@ def test_searches_by_bits_are_those_by_joins(spark, monkeypatch):
 
 def near_ids(e):
     return [r.id for r in G.nodes_of(e).collect()]
+
+
+def test_tree_by_blocks_is_the_tree_of_all_pairs(spark, monkeypatch):
+    """Grid points (many ties), copies of points, one point; pairs are not stored."""
+    rows = [(i * 3, [float(i % 7), float(i // 7)]) for i in range(60)] + [(1000 + i, [2.0, 3.0]) for i in range(3)]
+    z = spark.createDataFrame(rows, "id long, vec array<double>").cache()
+    of, want = {i: i for i, _ in rows}, []
+    for w, a, b in sorted((sum((p - q) ** 2 for p, q in zip(x, y)) ** 0.5, a, b) for a, x in rows for b, y in rows if a < b):
+        if of[a] != of[b]:
+            of = {i: of[a] if c == of[b] else c for i, c in of.items()}
+            want.append((a, b, w))
+    monkeypatch.setattr(K, "complete_edges", lambda z: pytest.fail("all pairs"))
+    assert sorted(map(tuple, K.mst_exact(z).collect())) == sorted(want) and len(want) == 62
+    assert K.mst_exact(z.limit(1)).count() == 0
