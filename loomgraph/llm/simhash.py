@@ -10,7 +10,9 @@ pointer jumping over the different fingerprints; copies of a text collapse into
 0.8 or more.  One 64-bit fingerprint can't: such texts differ in 5 to 10 of its bits, and a ball that wide has millions of
 members.  So the same balls are laid round ``TABLES`` short fingerprints of ``BITS`` bits, made from two-word shingles,
 which an edit disturbs less; texts that meet in any table are held against each other over all tables, then by their
-exact sets.  Recall is a matter of chance: see the README for figures.
+exact sets.  What that misses by chance is found exactly among texts of different components (``missed_pairs``): sets of
+similarity 0.8 share some of their first fifth in any common order, so shingles of those prefixes, rare ones first, are
+joined, and what shares enough of them is verified.
 
 Defined results: null text and text without words have fingerprint zero, linked like any other; fewer words than a
 shingle make one shingle of the whole sequence; a null doc_id sorts before all others; an empty table gives no rows.
@@ -36,6 +38,10 @@ _SLICE = 1 << 14
 TABLES, BITS, PRINT_WORDS, FAR = 6, 32, 2, 0.3
 #: Least similarity of near copies as a fraction of whole numbers, so that the test has no rounding.
 LEAST = (4, 5)
+#: Similar sets share so many shingles of their prefixes; more make prefixes longer and candidates fewer.
+SHARED = 3
+#: Frequent shingles that order the prefixes: their number, and the shingles that are counted at once.
+FREQUENT, CHUNK = 500_000, 1 << 21
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -157,26 +163,79 @@ def _prints(words: list[bytes], tables: int, bits: int, print_words: int) -> np.
     return np.array([w >> bits * i & (1 << bits) - 1 for w in whole for i in range(each)][:tables], np.uint64).view(np.int64)
 
 
+def frequent(rows: DataFrame, words_each: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles (sorted) and counts of the most frequent ones; all text is read, in chunks that drop what they hold less than
+    three times.  They only set the order of prefixes: any order finds the same pairs, rare shingles first make fewer candidates."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def counted() -> pa.RecordBatch:
+            u, c = np.unique(np.concatenate([np.zeros(0, np.int64), *held]), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(u[c > 2]), pa.array(c[c > 2].astype(np.int64))], names=["s", "c"])
+
+        for batch in batches:
+            for (text,) in columns(batch, "text"):
+                held.append(_shingle_set(text, words_each))
+                size += len(held[-1])
+                if size >= CHUNK:
+                    yield counted()
+                    held, size = [], 0
+        yield counted()
+        C.release()
+
+    top = rows.select("text").mapInArrow(run, "s long, c long").groupBy("s").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "s").limit(FREQUENT).toPandas()
+    top = top.sort_values("s")
+    return top["s"].to_numpy(np.int64), top["c"].to_numpy(np.int64)
+
+
+def _prefix(s: np.ndarray, names: np.ndarray, counts: np.ndarray, least: tuple[int, int]) -> np.ndarray:
+    """The first shingles of a set by (count, shingle): any similar set shares SHARED of them, or all it must share if fewer."""
+    at = np.minimum(np.searchsorted(names, s), max(len(names) - 1, 0))
+    count = np.where(names[at] == s, counts[at], 0) if len(names) else np.zeros(len(s), np.int64)
+    return s[np.lexsort((s, count))][: len(s) - -(-len(s) * least[0] // least[1]) + SHARED]
+
+
+def _verified(rows: DataFrame, kinds: DataFrame, pairs: DataFrame, words_each: int, least: tuple[int, int]) -> DataFrame:
+    """Those of the materialized pairs a, b of keys whose sets of shingles are similar."""
+    up, down = least
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists([_shingle_set(t, words_each) for (t,) in columns(batch, "text")])], names=["key", "set"])
+        C.release()
+
+    wanted = kinds.join(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "key").select("key", "label.id", "label.th")
+    # rows that repeat id and text make one
+    named = C.materialize(rows.join(wanted, ["id", "th"]).select("key", "text").mapInArrow(members, "key long, set array<long>").dropDuplicates(["key"]), "members")
+    both = pairs.join(named.select(F.col("key").alias("a"), F.col("set").alias("s")), "a").join(named.select(F.col("key").alias("b"), F.col("set").alias("t")), "b")
+    found = C.materialize(both.where(F.size(F.array_intersect("s", "t")) * F.lit(up + down) >= (F.size("s") + F.size("t")) * F.lit(up)).select("a", "b"), "edges")
+    C.discard(named)
+    return found
+
+
 def near_pairs(rows: DataFrame, words_each: int, least: tuple[int, int], tables: int = TABLES, bits: int = BITS, print_words: int = PRINT_WORDS) -> tuple[DataFrame, DataFrame]:
-    """rows: id, th, text.  The kinds (key of a different set of shingles; label, the least row that has it) and the
+    """rows: id, th, text.  The kinds (key of a different set of shingles; label, the least row that has it; prefix) and the
     similar pairs a < b of keys met."""
     if bits not in (8, 16, 32, 64):
         raise ValueError("bits must divide 64")
+    order = rows.sparkSession.sparkContext.broadcast(frequent(rows, words_each))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, prints = [], [], []
+            keys, sizes, prints, prefixes = [], [], [], []
             for (text,) in columns(batch, "text"):
                 words = text.translate(_LOWER).split()
                 s = np.unique(shingles(words, words_each))
                 keys.append(xxhash.xxh64_intdigest(s.tobytes(), 7) - (1 << 63))
                 sizes.append(len(s))
                 prints.append(_prints(words, tables, bits, print_words))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), _lists(prints)], names=["id", "th", "key", "n", "prints"])
+                prefixes.append(_prefix(s.view(np.int64), *order.value, least))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), _lists(prints), _lists(prefixes)], names=["id", "th", "key", "n", "prints", "prefix"])
         C.release()
 
-    made = rows.select("id", "th", "text").mapInArrow(sets, "id long, th long, key long, n int, prints array<long>")
-    kinds = C.materialize(made.groupBy("key").agg(F.min(F.struct("id", "th", "key", "n", "prints")).alias("x")).select("key", F.struct("x.id", "x.th", "x.key").alias("label"), "x.n", "x.prints"), "kinds")
+    made = rows.select("id", "th", "text").mapInArrow(sets, "id long, th long, key long, n int, prints array<long>, prefix array<long>")
+    kinds = C.materialize(made.groupBy("key").agg(F.min(F.struct("id", "th", "key", "n", "prints", "prefix")).alias("x")).select("key", F.struct("x.id", "x.th", "x.key").alias("label"), "x.n", "x.prints", "x.prefix"), "kinds")
 
     at = kinds.select("key", F.posexplode("prints").alias("t", "print"))
     # texts of one short fingerprint are tied to the least of them, which alone emits its variants
@@ -195,24 +254,39 @@ def near_pairs(rows: DataFrame, words_each: int, least: tuple[int, int], tables:
     apart = sum((F.bit_count(F.col("pa")[i].bitwiseXOR(F.col("pb")[i])) for i in range(tables)), F.lit(0))
     close = pairs.join(side("a"), "a").join(side("b"), "b").where((apart <= int(FAR * tables * bits)) & (F.least("na", "nb") * down >= F.greatest("na", "nb") * up))
     close = C.materialize(close.select("a", "b"), "close")
-
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists([_shingle_set(t, words_each) for (t,) in columns(batch, "text")])], names=["key", "set"])
-        C.release()
-
-    wanted = kinds.join(close.select(F.col("a").alias("key")).union(close.select("b")).distinct(), "key").select("key", "label.id", "label.th")
-    # rows that repeat id and text make one
-    named = C.materialize(rows.join(wanted, ["id", "th"]).select("key", "text").mapInArrow(members, "key long, set array<long>").dropDuplicates(["key"]), "members")
-    both = close.join(named.select(F.col("key").alias("a"), F.col("set").alias("s")), "a").join(named.select(F.col("key").alias("b"), F.col("set").alias("t")), "b")
-    found = C.materialize(both.where(F.size(F.array_intersect("s", "t")) * F.lit(up + down) >= (F.size("s") + F.size("t")) * F.lit(up)).select("a", "b"), "edges")
-    C.discard(pairs, close, named)
+    found = _verified(rows, kinds, close, words_each, least)
+    C.discard(pairs, close)
     return kinds, found
 
 
-def near_copies(docs: DataFrame, words_each: int = 5, least: tuple[int, int] = LEAST, tables: int = TABLES, bits: int = BITS, print_words: int = PRINT_WORDS) -> DataFrame:
+def missed_pairs(rows: DataFrame, kinds: DataFrame, parts: DataFrame, words_each: int, least: tuple[int, int]) -> DataFrame:
+    """All similar pairs a, b of keys in different parts.  parts: key, part (materialized), one row for each kind.
+
+    Only shingles that the prefixes of two parts hold are joined, so that a large group of near copies that is one part
+    already meets none but its outsiders.
+    """
+    up, down = least
+    held = kinds.select("key", F.col("n").cast("long").alias("n"), "prefix").join(parts, "key")
+    posts = spread(held, "key", 2000).select("key", "n", "part", F.explode("prefix").alias("s"))
+    shared = C.materialize(posts.groupBy("s").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("s"), "shared")
+    posts = C.materialize(posts.join(shared, "s"), "posts")
+    a, b = (posts.select("s", *[F.col(c).alias(c + x) for c in ("key", "n", "part")]) for x in "ab")
+    met = a.join(b, "s").where((F.col("keya") < F.col("keyb")) & (F.col("parta") != F.col("partb")) & (F.least("na", "nb") * down >= F.greatest("na", "nb") * up))
+    # sets that need not share so many share what they must
+    pairs = met.groupBy(F.col("keya").alias("a"), F.col("keyb").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.first(F.least("na", "nb")).alias("n")).where((F.col("k") >= SHARED) | (F.col("k") * down >= F.col("n") * up)).select("a", "b")
+    pairs = C.materialize(pairs, "missed")
+    C.discard(shared, posts)
+    found = _verified(rows, kinds, pairs, words_each, least)
+    C.discard(pairs)
+    return found
+
+
+def near_copies(docs: DataFrame, words_each: int = 5, least: tuple[int, int] = LEAST, tables: int = TABLES, bits: int = BITS, print_words: int = PRINT_WORDS, exact: bool | None = None) -> DataFrame:
     """key, label, root: for each different set of shingles the least row that has it, and the least of its component.
 
+    All similar pairs are found; with ``exact`` false, or fingerprints of the caller's own and ``exact`` not asked for, those
+    the fingerprints meet.
+
     label and root are structs of id, th (row_name) and key.
     """
     C.small_batches(C.session_of(docs))
@@ -220,12 +294,24 @@ def near_copies(docs: DataFrame, words_each: int = 5, least: tuple[int, int] = L
     rows = docs.select(row_id.alias("id"), th.alias("th"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
     kinds, edges = near_pairs(rows, words_each, least, tables, bits, print_words)
     roots = components(kinds.select(F.col("key").alias("node"), "label"), edges).select(F.col("node").alias("key"), "root")
-    return kinds.select("key", "label").join(roots, "key", "left").select("key", "label", F.coalesce("root", "label").alias("root"))
+    first = kinds.select("key", "label").join(roots, "key", "left").select("key", "label", F.coalesce("root", "label").alias("root"))
+    if not (exact if exact is not None else (tables, bits, print_words) == (TABLES, BITS, PRINT_WORDS)):
+        return first
+    first = C.materialize(first, "first")
+    C.discard(edges)
+    parts = first.select("key", F.col("root.key").alias("part"))
+    missed = missed_pairs(rows, kinds, parts, words_each, least)
+    a, b = (parts.withColumnsRenamed({"key": x, "part": "p" + x}) for x in "ab")
+    links = missed.join(a, "a").join(b, "b").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct()
+    leads = first.where("label = root").select(F.col("key").alias("node"), "label")
+    joined = components(leads, links).select(F.col("node").alias("part"), F.col("root").alias("top"))
+    C.discard(missed)
+    return first.withColumn("part", F.col("root.key")).join(joined, "part", "left").select("key", "label", F.coalesce("top", "root").alias("root"))
 
 
 def without_near_copies(docs: DataFrame, **setting) -> DataFrame:
     """Of each component of near copies one row, that of the least doc_id (null first) and then text hash; docs' columns."""
-    leads = near_copies(docs, **setting).where("label = root").select("label.id", "label.th")
+    leads = near_copies(docs, **{"exact": True} | setting).where("label = root").select("label.id", "label.th")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     row_id, th = row_name()
     return docs.select(row, row_id.alias("id"), th.alias("th")).join(leads, ["id", "th"]).dropDuplicates(["id", "th"]).select("row.*")

@@ -137,3 +137,20 @@ def test_exact_copies_under_one_repeated_id(spark, sf_dir):
     rows = [(3, "t u v w x y z", "a"), (7, "s s s", "a"), (7, "t u v w x y z", "a")]
     kept = corpus_pipeline.near_dedup(spark, docs_of(spark, rows), sf_dir).collect()
     assert sorted((r.doc_id, r.text) for r in kept) == [(3, "t u v w x y z"), (7, "s s s")]
+
+
+def test_the_exact_setting_misses_no_similar_pair(spark, sf_dir):
+    """One print of 64 bits finds few: the rest has to come from the prefixes."""
+    texts = planted(1) + ["a b c d e f g h", "a b c d e f g h i", "b c d e f g h", "p q r s t u", "p q r s t u v"]
+    docs = docs_of(spark, [(i, t, "a") for i, t in enumerate(texts)])
+    sets = [shingles(t) for t in texts]
+    for setting in ({"tables": 1, "bits": 64, "print_words": 5}, {}):
+        rows = simhash.near_copies(docs, exact=True, **setting).collect()
+        of, first = {r.label.id: r.root.id for r in rows}, {}
+        for i, x in enumerate(sets):
+            first.setdefault(frozenset(x), i)
+        assert checked(texts, [of[first[frozenset(x)]] for x in sets]) == 0
+    root = components(sets)
+    for setting in ({"tables": 1, "bits": 64, "print_words": 5}, {}):
+        kept = simhash.without_near_copies(docs, **setting)
+        assert sorted(r.doc_id for r in kept.collect()) == sorted({root.index(r) for r in root})
