@@ -263,24 +263,49 @@ def missed_pairs(rows: DataFrame, kinds: DataFrame, parts: DataFrame, words_each
     """All similar pairs a, b of keys in different parts.  parts: key, part (materialized), one row for each kind.
 
     Only shingles that the prefixes of two parts hold are joined, so that a large group of near copies that is one part
-    already meets none but its outsiders.
+    already meets none but its outsiders.  How far into a prefix a shared shingle may stand depends on both sizes: of what
+    two sets must share, all but the first SHARED - 1 come after the SHARED-th.  So a place bounds the size of its partner.
+    Links to one set for each shingle join most parts before the rest is compared.
     """
     up, down = least
     held = kinds.select("key", F.col("n").cast("long").alias("n"), "prefix").join(parts, "key")
-    posts = spread(held, "key", 2000).select("key", "n", "part", F.explode("prefix").alias("s"))
+    posts = spread(held, "key", 2000).select("key", "n", "part", F.posexplode("prefix").alias("i", "s"))
     shared = C.materialize(posts.groupBy("s").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("s"), "shared")
-    posts = C.materialize(posts.join(shared, "s"), "posts")
-    a, b = (posts.select("s", *[F.col(c).alias(c + x) for c in ("key", "n", "part")]) for x in "ab")
-    met = a.join(b, "s").where((F.col("keya") < F.col("keyb")) & (F.col("parta") != F.col("partb")) & (F.least("na", "nb") * down >= F.greatest("na", "nb") * up))
+    # the most that a partner may have, so that what both must share still fits behind this place
+    most = F.expr(f"(n - i + {SHARED - 1}) * {up + down} div {up} - n")
+    posts = C.materialize(posts.join(shared, "s").withColumn("most", most), "posts")
+    apart = (F.col("parta") != F.col("partb")) & (F.col("mosta") >= F.col("nb")) & (F.col("mostb") >= F.col("na")) & (F.least("na", "nb") * down >= F.greatest("na", "nb") * up)
+
+    # first one link a place, to the set that has the shingle earliest: what differs least from its kin.  It joins most parts
+    lead = posts.groupBy("s").agg(F.min(F.struct((F.col("i") / F.col("n")).alias("at"), "key", "n", "part", "most")).alias("x"))
+    lead = C.materialize(lead.select("s", *[F.col(f"x.{c}").alias(c + "a") for c in ("key", "n", "part", "most")]), "lead")
+    side = lambda x: [F.col(c).alias(c + x) for c in ("key", "n", "part", "most")]
+    tied = C.materialize(lead.join(posts.select("s", *side("b")), "s").where(apart).select(F.least("keya", "keyb").alias("a"), F.greatest("keya", "keyb").alias("b")).distinct(), "tied")
+    found = _verified(rows, kinds, tied, words_each, least)
+    now = C.materialize(components(parts.select(F.col("part").alias("node"), F.col("part").alias("label")).distinct(), between(found, parts)).withColumnRenamed("node", "part"), "now")
+
+    # then all of what is still in different parts; the part that holds a shingle most often needs no pairs within itself
+    moved = C.materialize(posts.drop("i").join(now, "part", "left").withColumn("part", F.coalesce("root", "part")).drop("root"), "moved")
+    major = moved.groupBy("s", "part").agg(F.count(F.lit(1)).alias("c")).groupBy("s").agg(F.max_by("part", F.struct("c", "part")).alias("major"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
+    major = C.materialize(major, "major")
+    minor = C.materialize(moved.join(major, "s").where("part <> major"), "minor")
+    met = minor.select("s", "major", *side("a")).join(moved.select("s", *side("b")), "s").where(((F.col("partb") == F.col("major")) | (F.col("keya") < F.col("keyb"))) & apart)
     # sets that need not share so many share what they must
-    pairs = met.groupBy(F.col("keya").alias("a"), F.col("keyb").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.first(F.least("na", "nb")).alias("n")).where((F.col("k") >= SHARED) | (F.col("k") * down >= F.col("n") * up)).select("a", "b")
+    must = F.expr(f"((na + nb) * {up} + {up + down - 1}) div {up + down}")
+    pairs = met.groupBy(F.least("keya", "keyb").alias("a"), F.greatest("keya", "keyb").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.first(must).alias("must")).where((F.col("k") >= SHARED) | (F.col("k") >= F.col("must"))).select("a", "b")
     pairs = C.materialize(pairs, "missed")
-    C.discard(shared, posts)
-    found = _verified(rows, kinds, pairs, words_each, least)
+    C.discard(shared, posts, lead, tied, now, moved, major, minor)
+    found = found.union(_verified(rows, kinds, pairs, words_each, least))
     C.discard(pairs)
     return found
 
 
+def between(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """Pairs a, b of keys as pairs of their parts."""
+    a, b = (parts.withColumnsRenamed({"key": x, "part": "p" + x}) for x in "ab")
+    return pairs.join(a, "a").join(b, "b").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct()
+
+
 def near_copies(docs: DataFrame, words_each: int = 5, least: tuple[int, int] = LEAST, tables: int = TABLES, bits: int = BITS, print_words: int = PRINT_WORDS, exact: bool | None = None) -> DataFrame:
     """key, label, root: for each different set of shingles the least row that has it, and the least of its component.
 
@@ -301,8 +326,7 @@ def near_copies(docs: DataFrame, words_each: int = 5, least: tuple[int, int] = L
     C.discard(edges)
     parts = first.select("key", F.col("root.key").alias("part"))
     missed = missed_pairs(rows, kinds, parts, words_each, least)
-    a, b = (parts.withColumnsRenamed({"key": x, "part": "p" + x}) for x in "ab")
-    links = missed.join(a, "a").join(b, "b").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct()
+    links = between(missed, parts)
     leads = first.where("label = root").select(F.col("key").alias("node"), "label")
     joined = components(leads, links).select(F.col("node").alias("part"), F.col("root").alias("top"))
     C.discard(missed)

@@ -154,3 +154,21 @@ def test_the_exact_setting_misses_no_similar_pair(spark, sf_dir):
     for setting in ({"tables": 1, "bits": 64, "print_words": 5}, {}):
         kept = simhash.without_near_copies(docs, **setting)
         assert sorted(r.doc_id for r in kept.collect()) == sorted({root.index(r) for r in root})
+
+
+def test_candidates_grow_with_a_group_not_with_its_pairs(spark, monkeypatch):
+    """Copies of one text with two changes each: similar to the text, not to each other."""
+    rng, made = random.Random(5), {}
+    base = text_of(rng, 150)
+    texts = [base] + [changed(rng, base, 2) for _ in range(250)] + [text_of(rng, 60) + " " + " ".join(base.split()[:90]) for _ in range(50)]
+    write = simhash.C.materialize
+
+    def counted(df, name):
+        out = write(df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(simhash.C, "materialize", counted)
+    rows = simhash.near_copies(docs_of(spark, [(i, t, "a") for i, t in enumerate(texts)]), exact=True, tables=1, bits=64, print_words=5).collect()
+    assert checked(texts, [{r.label.id: r.root.id for r in rows}[i] for i in range(len(texts))]) == 0
+    assert made.get("tied", 0) + made["missed"] < 5 * len(texts)
