@@ -366,3 +366,16 @@ def test_hops_of_pairs_store_no_other_distances(spark, monkeypatch):
     made.clear()
     assert {(r.u, r.v): r.hops for r in D.hop_distance(e, pairs).collect()} == want
     assert max(made) > len(asked)
+
+
+def test_approximate_search_of_queries_splits_a_full_bucket(spark, sf_dir, monkeypatch):
+    """Buckets of half of all points, in many blocks, give the exact neighbours of the queries; the usual ones have recall."""
+    z = tables.vectors(spark, sf_dir)
+    asked = z.where("id % 50 = 0")
+    told = lambda df: {(r.id, r.rank): r.neighbour for r in df.collect()}
+    exact = told(K.knn_exact(z, 10, queries=asked))
+    monkeypatch.setattr(K, "BUCKET_ROWS", 37)
+    assert told(K.knn_approx(z, 10, 1e9, 24, queries=asked)) == exact  # two buckets a table, by sign
+    near = told(K.knn_approx(z, 10, queries=asked))
+    pairs = lambda x: {(i, n) for (i, _), n in x.items()}
+    assert len(pairs(near) & pairs(exact)) >= 0.9 * len(exact)
