@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ from . import common as C
 
 #: Windows handled at once within one document: bounds memory for very long texts.
 BLOCK = 1 << 19
+#: Bytes of short documents that are parsed together.
+TOGETHER = 1 << 17
 #: Bytes of phrases in a shard, by what is measured.
 SHARD = 2_000_000
 _ODD = 0x9E3779B97F4A7C15 | 1
@@ -92,11 +95,17 @@ def byte_units(text: bytes) -> np.ndarray:
     return _TABLE[np.frombuffer(text, np.uint8)]
 
 
-def word_units(text: bytes) -> np.ndarray:
+def all_bytes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return byte_units(b"".join(texts)), np.array([len(t) for t in texts], np.int64)
+
+
+def all_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word."""
-    data = np.frombuffer(text, np.uint8)
+    data = np.frombuffer(b"\n".join(texts), np.uint8)
     edge = np.flatnonzero(np.diff(np.concatenate([[True], _BLANK[data], [True]])))
-    return stretches(_TABLE[data], edge[::2], edge[1::2])
+    upto = np.cumsum([len(t) + 1 for t in texts])
+    sizes = np.diff(np.searchsorted(edge[::2], upto), prepend=0)
+    return stretches(_TABLE[data], edge[::2], edge[1::2]), sizes
 
 
 @dataclass(frozen=True)
@@ -106,50 +115,77 @@ class Alphabet:
     window: int
     gram: int
     deep: int
-    units: Callable[[bytes], np.ndarray]  # text -> a number per unit
+    units: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]  # texts -> a number per unit, one text after the other, and their lengths
     cut: Callable[[bytes], object]  # text -> the sequence to slice
     join: Callable[[object], bytes]  # a slice -> its bytes
 
 
 def by_bytes(window: int, gram: int, deep: int) -> Alphabet:
-    return Alphabet(window, gram, deep, byte_units, lambda text: text, lambda part: part)
+    return Alphabet(window, gram, deep, all_bytes, lambda text: text, lambda part: part)
 
 
 def by_words(window: int, gram: int) -> Alphabet:
-    return Alphabet(window, gram, window, word_units, bytes.split, b" ".join)
+    return Alphabet(window, gram, window, all_words, bytes.split, b" ".join)
 
 
-def phrases_of(units: np.ndarray, al: Alphabet) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First window, number of windows, trigger and hash of each phrase, in order; every window is in exactly one."""
-    total = len(units) - al.window + 1
+def _phrases(units: np.ndarray, sizes: np.ndarray, owns: np.ndarray, al: Alphabet) -> tuple[np.ndarray, ...]:
+    """Of sequences one after the other, with their lengths and how many windows of each are to be dealt out."""
+    if not owns.any():
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int32, np.int64, np.int64)) + (np.zeros(len(sizes), np.int64),)
     low = np.uint64((1 << 21) - 1)
-    firsts, counts, keys, prints = ([np.zeros(0, t)] for t in (np.int64, np.int32, np.int64, np.int64))
-    for at in range(0, max(total, 0), BLOCK):
-        count = min(BLOCK, total - at)
-        part = units[at : at + count + al.deep - 1]
-        h = rolling(part, al.gram)
-        seen = h[: count + al.window - al.gram]
-        place = sliding_min((seen & ~low) | np.arange(len(seen), dtype=np.uint64), al.window - al.gram + 1) & low
-        first = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1])
-        after = np.concatenate([first[1:], [count]])
-        firsts.append(first + at)
-        counts.append((after - first).astype(np.int32))
-        keys.append(h[place[first].astype(np.int64)].view(np.int64))
-        # from hashes of grams, which leaves no structure of the text in the sum
-        ends = np.minimum(after - 1 + al.deep, len(part)) - al.gram + 1
-        prints.append(stretches(h, first, ends).view(np.int64))
-    return tuple(np.concatenate(x) for x in (firsts, counts, keys, prints))
+    begin = np.cumsum(sizes) - sizes
+    h = rolling(units, al.gram)
+    place = sliding_min((h & ~low) | np.arange(len(h), dtype=np.uint64), al.window - al.gram + 1) & low
+    some = owns > 0
+    # windows that reach into the next sequence are no one's
+    edge = np.zeros(len(place) + 1, np.int8)
+    edge[begin[some]] += 1
+    edge[(begin + owns)[some]] -= 1
+    opens = np.concatenate([[True], place[1:] != place[:-1]])
+    opens[begin[some]] = True
+    first = np.flatnonzero(opens & (np.cumsum(edge[:-1], dtype=np.int8) > 0))
+    which = np.searchsorted(begin + sizes, first, "right")
+    after = np.minimum(np.append(first[1:], len(units)), (begin + owns)[which])
+    # from hashes of grams, which leaves no structure of the text in the sum
+    ends = np.minimum(after - 1 + al.deep, (begin + sizes)[which]) - al.gram + 1
+    keys, prints = h[place[first].astype(np.int64)].view(np.int64), stretches(h, first, ends).view(np.int64)
+    return first - begin[which], (after - first).astype(np.int32), keys, prints, np.bincount(which, minlength=len(sizes))
+
+
+def phrases_of(units: np.ndarray, sizes: np.ndarray, al: Alphabet) -> tuple[np.ndarray, ...]:
+    """First window, number of windows, trigger and hash of each phrase, in order, and the number of phrases of each
+    sequence; every window is in exactly one."""
+    owns = np.maximum(sizes - al.window + 1, 0)
+    if owns.sum() <= BLOCK:
+        return _phrases(units, sizes, owns, al)
+    found, numbers = [], []
+    for begin, total in zip((np.cumsum(sizes) - sizes).tolist(), owns.tolist(), strict=True):
+        numbers.append(0)
+        for at in range(0, total, BLOCK):
+            count = min(BLOCK, total - at)
+            size = min(count + al.deep - 1, total + al.window - 1 - at)
+            first, *rest, number = _phrases(units[begin + at : begin + at + size], np.array([size]), np.array([count]), al)
+            found.append((first + at, *rest))
+            numbers[-1] += int(number[0])
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) + (np.array(numbers, np.int64),)
+
+
+def _together(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """The texts in order, short ones several at a time."""
+    some, size = [], 0
+    for text in texts:
+        if some and size + len(text) > TOGETHER:
+            yield some
+            some, size = [], 0
+        some.append(text)
+        size += len(text)
+    yield some
 
 
 def columns(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
     return zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names), strict=True)
 
 
-def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
-    offsets = np.cumsum([0, *map(len, arrays)])
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(arrays), kind))
-
-
 Fields = list[tuple[str, pa.DataType, str]]
 
 
@@ -166,9 +202,10 @@ def parse(docs: DataFrame, al: Alphabet, summary: Callable[[bytes], tuple], fiel
             if not batch.num_rows:
                 continue
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            found = list(zip(*(phrases_of(al.units(t), al) for t in texts), strict=True))
+            *found, numbers = (np.concatenate(x) for x in zip(*(phrases_of(*al.units(some), al) for some in _together(texts)), strict=True))
             held = [batch.column(batch.schema.get_field_index(n)) for n in ("k1", "k2", "doc_id")]
-            lists = [_lists(list(found[i]), t) for i, (_, t) in enumerate(kinds)]
+            offsets = pa.array(np.cumsum([0, *numbers.tolist()]), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x, t)) for x, (_, t) in zip(found, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*held, *lists, *_rows([summary(t) for t in texts], fields)], names=["k1", "k2", "doc_id", *(n for n, _ in kinds), *(n for n, _, _ in fields)])
         C.release()
 
@@ -205,28 +242,32 @@ def bodies(docs: DataFrame, wanted: DataFrame, al: Alphabet) -> DataFrame:
     per = wanted.select(F.col("e1").alias("k1"), F.col("e2").alias("k2"), F.struct(*names).alias("x")).groupBy("k1", "k2").agg(F.collect_list("x").alias("xs"))
     # rows that repeat a document give its texts again, which changes nothing
     texts = docs.select("k1", "k2", "text").join(per, ["k1", "k2"])
-    schema = pa.schema([("key", pa.int64()), ("p", pa.int64()), ("n", pa.int32()), ("n_seen", pa.int64()), ("kinds", pa.int64()), ("e1", pa.int64()), ("e2", pa.int32()), ("e3", pa.int64()), ("phrase", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made(out: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+        def with_text(rows: pa.RecordBatch, parts: list[bytes]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*rows.columns, pa.array(parts, pa.binary())], names=[*rows.schema.names, "phrase"])
 
         for batch in batches:
-            out, size = [], 0
-            for k1, k2, text, xs in columns(batch, "k1", "k2", "text", "xs"):
-                seq = al.cut(text)
-                for x in xs:
-                    part = al.join(seq[x["e3"] : x["e3"] + x["n"] - 1 + al.deep])
-                    out.append((x["key"], x["p"], x["n"], x["n_seen"], x["kinds"], k1, k2, x["e3"], part))
-                    size += len(part)
+            k1, k2, text, xs = (batch.column(batch.schema.get_field_index(n)) for n in ("k1", "k2", "text", "xs"))
+            counts = np.diff(xs.offsets.to_numpy())
+            rows = pa.RecordBatch.from_arrays([*xs.flatten().flatten(), *(k.take(pa.array(np.repeat(np.arange(len(counts)), counts))) for k in (k1, k2))], names=[*names, "e1", "e2"])
+            first = rows.column("e3").to_numpy()
+            ends = first + rows.column("n").to_numpy() - 1 + al.deep
+            spans = zip(first.tolist(), ends.tolist(), strict=True)
+            parts, size, done = [], 0, 0
+            for t, count in zip(text.to_pylist(), counts.tolist(), strict=True):
+                seq = al.cut(t)
+                for a, b in islice(spans, count):
+                    parts.append(al.join(seq[a:b]))
+                    size += len(parts[-1])
                     if size > 4_000_000:
-                        yield made(out)
-                        out, size = [], 0
-            if out:
-                yield made(out)
+                        yield with_text(rows.slice(done, len(parts)), parts)
+                        parts, size, done = [], 0, done + len(parts)
+            if parts:
+                yield with_text(rows.slice(done), parts)
         C.release()
 
-    return texts.mapInArrow(run, "key long, p long, n int, n_seen long, kinds long, e1 long, e2 int, e3 long, phrase binary")
+    return texts.mapInArrow(run, "key long, p long, n int, n_seen long, kinds long, e3 long, e1 long, e2 int, phrase binary")
 
 
 def runs_of(flags: np.ndarray) -> list[int]:
@@ -272,7 +313,7 @@ def resolve(texts: DataFrame, al: Alphabet, resolver: Resolver, names: list[str]
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, p, n, n_seen, phrase, e1, e2, e3 in columns(batch, "key", "p", "n", "n_seen", "phrase", "e1", "e2", "e3"):
-                units = al.units(phrase)
+                units = al.units([phrase])[0]
                 for width in sorted({al.window, al.deep}):
                     if len(units) < width:
                         continue
@@ -322,15 +363,15 @@ class Plan:
     names: list[str]  # of the marks
     wanted: str  # the phrases that go to the resolver
     spans: Callable[[str], Column]  # from a phrase, its marks and an occurrence: the spans to mark there, under a name
-    widths: list[int]  # of what a mark covers, by name
+    widths: dict[str, int]  # of what a mark covers, by the names that documents need
     summary: Callable[[bytes], tuple]  # of a document in which nothing is marked
-    finish: Callable  # (sequence, flags of units under each name) -> the summary otherwise
+    finish: Callable  # (sequence, flags of units under each of these names) -> the summary otherwise
     fields: Fields
 
 
 def remove(docs: DataFrame, plan: Plan) -> DataFrame:
     """doc_id and the summary's fields."""
-    al, names, fields = plan.al, plan.names, plan.fields
+    al, names, fields = plan.al, list(plan.widths), plan.fields
     C.small_batches(C.session_of(docs))
     docs = C.id_and_text(docs).select("doc_id", "text", *C.row_keys())
     parsed = C.materialize(parse(docs, al, plan.summary, fields), "parsed")
@@ -339,7 +380,7 @@ def remove(docs: DataFrame, plan: Plan) -> DataFrame:
     C.discard(parsed)
     known = dictionary(held)
     texts = C.materialize(bodies(docs, known.where(plan.wanted), al), "bodies")
-    marks = resolve(texts, al, plan.resolver, names, plan.singly, plan.hot)
+    marks = resolve(texts, al, plan.resolver, plan.names, plan.singly, plan.hot)
     C.discard(texts)
     # a table of its own lets AQE split a phrase that is everywhere
     told = C.materialize(known.where("n_seen >= 2 or kinds >= 2").join(marks, ["key", "p"], "left"), "told")
@@ -358,7 +399,7 @@ def remove(docs: DataFrame, plan: Plan) -> DataFrame:
             spans = zip(*(_slices(batch.column(batch.schema.get_field_index(n))) for n in names), strict=True)
             for (k1, k2, text), each in zip(columns(batch, "k1", "k2", "text"), spans, strict=True):
                 seq = al.cut(text)
-                out.append((k1, k2, *plan.finish(seq, *(covered(len(seq), w, s) for w, s in zip(plan.widths, each, strict=True)))))
+                out.append((k1, k2, *plan.finish(seq, *(covered(len(seq), w, s) for w, s in zip(plan.widths.values(), each, strict=True)))))
             if out:
                 yield pa.RecordBatch.from_arrays(_rows(out, [("k1", pa.int64(), ""), ("k2", pa.int32(), ""), *fields]), schema=pa.schema(schema))
         C.release()

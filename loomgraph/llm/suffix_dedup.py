@@ -180,6 +180,6 @@ def dedup(docs: DataFrame, window: int = 400, shared: int = 200, gram: int = 64)
         return F.when(F.col("n_seen") >= 2, F.array(F.lit(0), F.col("n") - 1)).otherwise(F.col(name))
 
     plan = R.Plan(
-        R.by_bytes(shared, gram, window), by_suffixes(window, shared, gram), singly, HOT, ["marks", "shorter"], "kinds >= 2", spans, [window, shared], summary, finish, fields,
+        R.by_bytes(shared, gram, window), by_suffixes(window, shared, gram), singly, HOT, ["marks", "shorter"], "kinds >= 2", spans, {"marks": window, "shorter": shared}, summary, finish, fields,
     )
     return R.remove(docs, plan)

@@ -187,3 +187,70 @@ def test_empty_and_repeated_rows(spark):
     twice = frame(spark, [(1, text), (1, text), (1, "other")])
     assert sorted(r.n_removed for r in suffix_dedup.dedup(twice).collect()) == [0, len(text), len(text)]
     assert [r.n_removed for r in phrase_dedup.dedup(twice).collect()] == [0, 0, 0]
+
+
+def groups_of(rows, window, gram):
+    """Triggers with their different phrases, as the shards get them."""
+    al = repeats.by_words(window, gram)
+    groups = defaultdict(dict)
+    for d, text in rows:
+        t = (text or "").encode()
+        words = t.split()
+        for first, n, key, p in zip(*(x.tolist() for x in repeats.phrases_of(*al.units([t]), al)[:4])):
+            phrase, _, seen, place = groups[key].get(p, (b" ".join(words[first : first + n - 1 + window]), n, 0, (d, 0, first)))
+            groups[key][p] = (phrase, n, seen + 1, place)
+    return [(key, list(g.values())) for key, g in sorted(groups.items())]
+
+
+def brute_marks(groups, window):
+    places = defaultdict(list)
+    for a, (_, g) in enumerate(groups):
+        for b, (phrase, n, seen, (k1, k2, start)) in enumerate(g):
+            words = phrase.split(b" ")
+            for i in range(n):
+                places[tuple(words[i : i + window])].append(((k1, k2, start + i), a, b, i, seen))
+    flags = [[[np.zeros(m[1], bool), np.zeros(m[1], bool)] for m in g] for _, g in groups]
+    for at in places.values():
+        if sum(x[4] for x in at) > 1:
+            for place, a, b, i, _ in at:
+                flags[a][b][0][i] = True
+                flags[a][b][1][i] = place != min(at)[0]
+    return [[[repeats.runs_of(f) for f in x] for x in g] for g in flags]
+
+
+@pytest.mark.parametrize(("bits", "words"), [(64, 20_000), (64, 50), (2, 20_000), (0, 300)])
+def test_marks_of_automata_match_brute_force(monkeypatch, bits, words):
+    """However many windows share a hash, and however triggers are dealt to automata."""
+    groups = groups_of([(i, t) for i, (_, t) in enumerate(corpus(7))], 20, 6)
+    want = brute_marks(groups, 20)
+    monkeypatch.setattr(phrase_dedup, "WORDS", words)
+    rolling = repeats.rolling
+    monkeypatch.setattr(repeats, "rolling", lambda units, width: rolling(units, width) & np.uint64(2**bits - 1))
+    assert phrase_dedup.by_automaton(20)(groups) == want
+    assert any(x[1] for g in want for x in g)
+
+
+def test_automata_take_a_recurring_stretch_once(monkeypatch):
+    """Not each of its windows: an automaton of windows alone has many times the states."""
+    made, real = [], phrase_dedup.ahocorasick.Automaton
+    monkeypatch.setattr(phrase_dedup.ahocorasick, "Automaton", lambda: made.append(real()) or made[-1])
+    passage = " ".join(f"w{i}" for i in range(30)).encode()
+    lines = [b"a " + passage, passage + b" b", b"c " + passage + b" d"]
+    sizes = [len(x.split()) - 19 for x in lines]
+    marks = phrase_dedup.by_automaton(20)([(1, [(x, n, 1, (i, 0, 0)) for i, (x, n) in enumerate(zip(lines, sizes))])])
+    assert marks == [[[[1, 11], []], [[0, 10], [0, 10]], [[1, 11], [1, 11]]]]
+    assert [[len(x) for x in machine.keys()] for machine in made] == [[30]]
+
+
+def test_documents_parsed_together_have_the_phrases_of_each(monkeypatch):
+    texts = [(t or "").encode() for _, t in corpus(8)]
+    for al in (repeats.by_words(20, 6), repeats.by_bytes(200, 64, 400)):
+        single = [repeats.phrases_of(*al.units([t]), al) for t in texts]
+        for block in (1 << 19, 30):
+            monkeypatch.setattr(repeats, "BLOCK", block)
+            alone = [repeats.phrases_of(*al.units([t]), al) for t in texts]
+            together = repeats.phrases_of(*al.units(texts), al)
+            for x, y in zip(zip(*alone), together):
+                assert np.array_equal(np.concatenate(x), y)
+        monkeypatch.undo()
+        assert [int(x[1].sum()) for x in single] == [max(len(al.cut(t)) - al.window + 1, 0) for t in texts]
